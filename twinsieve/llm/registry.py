@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, packing, sorted_table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_byte_bpe": byte_bpe.query,
+        "op5_sorted_table": sorted_table.query,
+        "op7_packing": packing.query,
     }
 
 

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, sorted_table
+from . import byte_bpe, language_id, packing, sorted_table, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_sorted_table": sorted_table.query,
         "op7_packing": packing.query,
+        "op9_toxicity": toxicity.query,
     }
 
 

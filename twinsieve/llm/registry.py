@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, packing, sorted_table, toxicity
+from . import byte_bpe, language_id, licenses, packing, sorted_table, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sorted_table": sorted_table.query,
         "op7_packing": packing.query,
         "op9_toxicity": toxicity.query,
+        "op10_licenses": licenses.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_licenses": licenses.oracle(),
+    }

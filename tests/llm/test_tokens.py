@@ -16,6 +16,9 @@ TK = B.load(PATH)
 TEXTS = [None, "", "The cat's Hat.", "x" * 30_000 + "!y" * 9000, "a b " * 9000, "The cat's Hat.", "naïve 漢字 🙂 <|endoftext|> İΑΣ é", "\x1c a\xa0b ́c"]
 
 
+ENCODER = B.WordEncoder(PATH)
+
+
 def plain(text, end):
     return [*TK.encode(text or "", add_special_tokens=False).ids, end]
 
@@ -23,11 +26,17 @@ def plain(text, end):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("ab é1 \n\t'süS.-\x1c\xa0\x0b\x85漢éİΣ|<>"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_words_encode_as_the_whole(text):
-    encoder = B.WordEncoder.__new__(B.WordEncoder)
-    encoder.tokenizer, encoder.most, encoder.part_chars, encoder.new, encoder.old = TK, 5, 10, {}, {}
+    encoder = ENCODER
+    encoder.most, encoder.part_chars = 5, 10
     assert [x.tolist() for x in encoder.encode([text, None, text], 2)] == [plain(text, 2), [2], plain(text, 2)]
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(max_codepoint=0xFF), max_size=30))
+def test_latin_words_encode_as_the_whole(text):
+    assert [x.tolist() for x in ENCODER.encode([text], 2)] == [plain(text, 2)]
+
+
 def test_shards_hold_and_find_all(spark):
     rows = [((i * 7919) % 400, TEXTS[i % len(TEXTS)] if i % 50 == 0 else f"word{i} and more", "clash") for i in range(400)] + [(None, "no id", "x"), (5, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

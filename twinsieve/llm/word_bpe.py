@@ -8,6 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import Bounded
+
 VOCABULARY = "word_bpe_49k.json"
 #: Python's white space that the tokenizer's \s might read otherwise: such texts are cut at ASCII white space alone.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -15,6 +17,16 @@ _ASCII_SPACE = re.compile(r"[ \t\n\r]+")
 #: In a very long stretch without white space: between an ASCII letter and an ASCII sign no match or composition crosses.
 _SIGN = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])")
 LONG_WORD = 20_000
+#: Of such words composition and lower case are those of each character, and the pattern's classes are these.
+_LATIN = re.compile("[\x21-\x7e\xa1-\xff]{1,64}")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """Byte -> the character that stands for it in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def load(path: str):
@@ -41,19 +53,31 @@ def words_of(text: str) -> list[str]:
 
 
 class WordEncoder:
-    """Encodes texts by a table of word -> ids, of which two generations of `most` words are kept."""
+    """Encodes texts by a table of word -> ids, of which two generations of `most` words are kept.
 
-    def __init__(self, path: str, most: int = 200_000, part_chars: int = 1_000_000):
+    A new word of Latin letters and signs is put together from its pieces, the runs that the tokenizer's pattern
+    finds in it, which the tokenizer's model encodes; any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 120_000, part_chars: int = 500_000):
         self.tokenizer = load(path)
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
+        self.pieces = Bounded(self._piece, 2 * most)
         self.most, self.part_chars = most, part_chars
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _piece(self, piece: str) -> bytes:
+        coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         missing = []
         for w in words:
             if (known := self.old.get(w)) is not None:
                 self.new[w] = known
+            elif _LATIN.fullmatch(w):
+                self.new[w] = b"".join(map(self.pieces.__getitem__, _PIECE.findall(w.lower())))
             else:
                 missing.append(w)
         for k in range(0, len(missing), 4096):

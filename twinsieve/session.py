@@ -47,11 +47,22 @@ def stage_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/twinsieve-{what}-{uuid.uuid4().hex}"
 
 
+#: Spark then deletes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it back."""
+    """Cut lineage: write df as Parquet to the shared folder and read it back.
+
+    Nothing needs the shuffle files of the writing afterwards, so they go at its end.
+    """
     spark = df.sparkSession
-    path = stage_path(spark, what)
-    df.write.parquet(path)
+    path, before = stage_path(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -303,3 +303,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose document is the first of its class, with all their columns; rows repeated whole stay once.
+
+    Rows with a null id or without a word stay.
+    """
+    kept_ids = classes(docs, id_col, text_col).filter("keep").select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct()
+    out = docs.join(materialise(kept_ids, "kept"), F.col(id_col) == F.col("_id"), "left_semi")
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, text_col])
+    return out.union(docs.filter(F.col(id_col).isNull()))

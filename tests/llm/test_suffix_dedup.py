@@ -97,7 +97,7 @@ def test_rows_that_share_an_id_and_null_ids(spark):
 
 
 def test_texts_of_the_pipeline(spark):
-    p = "naïve passage of words that many documents hold, " * 4
+    p = " ".join(f"naïve passage {k}" for k in range(12))
     df = spark.createDataFrame([(1, "a é" + p, "x", 9), (2, "bb é" + p + "end", "y", 9), (3, None, "z", None)], "doc_id long, text string, lang string, n_chars long")
     got = {r.doc_id: r for r in S.kept_texts(df).collect()}
     assert got[1].text == "a é" + p and got[3].text is None and got[3].lang == "z"

@@ -11,7 +11,7 @@ suffix needs to travel:
 2. The bytes of those are dealt and sorted in the same way. A task sorts their suffixes by multikey quicksort, eight
    bytes at a step, and removes all but the first of each tie.
 3. Ties are compared across boundaries: for fragments by each partition's last key, for suffixes of an anchor that
-   lies in several partitions by one row for each partition and distinct suffix.
+   lies in several partitions by the digest of each distinct suffix of each partition.
 
 No step depends on the other copies of a document being near, and no group of copies is gathered.
 """
@@ -27,7 +27,6 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -289,11 +288,12 @@ def _merged(doc: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[n
 
 
 def _suffixes_compared(rows: DataFrame) -> DataFrame:
-    """rows (m, doc, pc, bytes) -> doc, start, end, k1, k2.
+    """rows (m, doc, pc, bytes) -> doc, start, end to be removed; or bucket, packed.
 
-    k1, k2 are null where [start, end) is to be removed; else the row is a suffix, with its digest, that is the first
-    of its task and has an anchor which other tasks may have, too.
+    packed holds, for a range of digests, the digest, document and place of suffixes that are the first of their like in
+    their task and whose anchor other tasks may have, too.
     """
+    buckets = _parts(rows.sparkSession)
 
     def settle(held: list[tuple], divided: set[int]) -> Iterator[pa.RecordBatch]:
         if not held:
@@ -318,7 +318,13 @@ def _suffixes_compared(rows: DataFrame) -> DataFrame:
             if len(rest):
                 view = memoryview(data)
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[x : x + LENGTH]) for x in at[rest].tolist()), "<i8").reshape(-1, 2)
-                yield _spans(doc[owner[rest]], place[rest], place[rest] + LENGTH, keys)
+                packed = np.concatenate([keys, doc[owner[rest]][:, None], place[rest][:, None]], 1)
+                to = (keys[:, 0] % buckets).astype("i4")
+                packed, to = packed[by := np.argsort(to, kind="stable")], to[by]
+                cuts = np.flatnonzero(np.diff(to, prepend=-1))
+                blobs = [x.tobytes() for x in np.split(packed, cuts[1:])]
+                none = pa.nulls(len(cuts), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(to[cuts]), pa.array(blobs, pa.binary())], names=["doc", "start", "end", "bucket", "packed"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now, of_now = [], 0, None, 0
@@ -344,13 +350,40 @@ def _suffixes_compared(rows: DataFrame) -> DataFrame:
         yield from settle(held, divided)
 
     dealt = rows.repartitionByRange(_parts(rows.sparkSession), "m", "doc", "pc").sortWithinPartitions("m", "doc", "pc")
-    return dealt.mapInArrow(run, "doc bigint, start bigint, end bigint, k1 bigint, k2 bigint")
+    return dealt.mapInArrow(run, "doc bigint, start bigint, end bigint, bucket int, packed binary")
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> pa.RecordBatch:
-    columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
-    columns += [pa.nulls(len(doc), pa.int64())] * 2 if keys is None else [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-    return pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "k1", "k2"])
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "bucket", "packed"])
+
+
+def _across(packed: DataFrame) -> DataFrame:
+    """doc, start, end of suffixes (bucket, packed) that another task has earlier.
+
+    A task has each suffix at most once, so what one digest gathers is bounded by the number of tasks.
+    """
+
+    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if blobs:
+            k1, k2, doc, place = np.frombuffer(b"".join(blobs), "i8").reshape(-1, 4).T
+            order = np.lexsort((place, doc, k2, k1))
+            later = order[1:][(k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])]
+            doc, start, end = _merged(doc[later], place[later])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc", "start", "end"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from settle(held)
+                    now, held = bucket, []
+                held.append(blob)
+        yield from settle(held)
+
+    dealt = packed.repartition(_parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "doc bigint, start bigint, end bigint")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -389,12 +422,11 @@ def removed(docs: DataFrame) -> DataFrame:
     plain = found.filter(F.col("kind") == _COPY).select("m", "doc", "pc").union(spark.createDataFrame(copies, "m bigint, doc bigint, pc bigint"))
     chosen = found.filter(F.col("kind") == _GO_ON).select("m", "doc", "pc").union(spark.createDataFrame(go_on, "m bigint, doc bigint, pc bigint"))
     suffixes = materialise(_suffixes_compared(materialise(_with_bytes(docs, chosen), "candidates")), "suffixes")
-    order = W.partitionBy("k1", "k2").orderBy("doc", "start")  # one row for each task that has the suffix
-    across = suffixes.filter("k1 IS NOT NULL").withColumn("_rank", F.row_number().over(order)).filter("_rank > 1")
+    across = _across(suffixes.filter("packed IS NOT NULL").select("bucket", "packed"))
     place = F.floor(F.col("pc") / _PACK).cast("bigint")
     spans = (
         plain.select("doc", place.alias("start"), (place + F.col("pc") % _PACK + LENGTH - 1).alias("end"))
-        .union(suffixes.filter("k1 IS NULL").select("doc", "start", "end"))
+        .union(suffixes.filter("packed IS NULL").select("doc", "start", "end"))
         .union(across.select("doc", "start", "end"))
     )
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -457,7 +489,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its texts stripped and all its columns; n_chars, where there is such a column, counts the new text.
 
-    Bytes of a character that lost another of its bytes go with it. Ids must be unique integers, as in the pipeline.
+    Bytes of a character that lost another of its bytes go with it. A null text stays null; ids are read as by strip().
     """
     names = docs.columns
 
@@ -475,9 +507,13 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     numbered, shared = _numbered(docs, id_col, text_col)
-    if shared is not None:
-        raise ValueError(f"{id_col} must hold unique integers")
     spans = removed(numbered).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    out = docs.join(spans, F.col(id_col).cast("bigint") == F.col("_doc"), "left").drop("_doc").mapInArrow(run, docs.schema)
+    if shared is None:
+        met = docs.join(spans, F.col(id_col).cast("bigint") == F.col("_doc"), "left")
+    else:
+        spans = shared.join(spans, F.col("doc") == F.col("_doc")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
+        tag = F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256)
+        met = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left")
+    out = met.select(*names, "_spans").mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 

@@ -32,7 +32,7 @@ def parse_size_column(text: Column) -> Column:
     """parse_size() of a column; null where the text isn't a size."""
     shape = r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*([kmgtpe]?)(i?)(b?)\s*$"
     number = F.nullif(F.regexp_extract(text, shape, 1), F.lit("")).cast("decimal(38,6)")
-    power = F.locate(F.lower(F.regexp_extract(text, shape, 2)), F.lit("kmgtpe"))
+    power = F.position(F.lower(F.regexp_extract(text, shape, 2)), F.lit("kmgtpe"))
     power = F.when(F.regexp_extract(text, shape, 2) == "", F.lit(0)).otherwise(power)
     binary = F.regexp_extract(text, shape, 3) != ""
     factor = F.when(binary, F.pow(F.lit(1024.0), power)).otherwise(F.pow(F.lit(1000.0), power)).cast("decimal(19,0)")

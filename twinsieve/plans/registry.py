@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import deduplication, grouping, scalars, selection  # noqa: F401 - they register their queries
+from .common import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def _duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.col("text").cast("binary")
-    return (
-        spark.read.parquet(f"{sf_dir}/documents.parquet")
-        .select(F.octet_length("text").cast("bigint").alias("file_len"), F.sha2(content, 256).alias("file_hash"))
-        .groupBy("file_len", "file_hash")
-        .agg(F.count("*").alias("n"))
-        .filter("n > 1")
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"duplicate_groups": _duplicate_groups}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "duplicate_groups": "SELECT CAST(octet_length(encode(text)) AS BIGINT) AS file_len, sha256(encode(text)) AS file_hash, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1"
-    }
+    return dict(SQL)

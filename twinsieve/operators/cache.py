@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.sizes import epoch_millis
 
 KEY = ["device", "inode", "chunk_pos", "chunk_len"]
+#: The namespace of digests without a transformation.
+PLAIN = "-"
 SCHEMA = "device bigint, inode bigint, chunk_pos bigint, chunk_len bigint, modified_ms bigint, file_len bigint, data_len bigint, hash string, algorithm string, transform string"
 
 
@@ -41,12 +43,12 @@ def opened(spark: SparkSession, path: str, algorithm: str, transform: str | None
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
     table = spark.read.schema(SCHEMA).parquet(path) if exists else spark.createDataFrame([], SCHEMA)
-    return table.filter((F.col("algorithm") == algorithm) & (F.col("transform") == (transform or "")))
+    return table.filter((F.col("algorithm") == algorithm) & (F.col("transform") == (transform or PLAIN)))
 
 
 def store(entries: DataFrame, path: str, algorithm: str, transform: str | None = None) -> None:
     """Append entries to the namespace of an algorithm and transformation; merged() of what is read resolves keys."""
-    entries.select(*KEY, "modified_ms", "file_len", "data_len", "hash", F.lit(algorithm).alias("algorithm"), F.lit(transform or "").alias("transform")).write.mode("append").partitionBy("algorithm", "transform").parquet(path)
+    entries.select(*KEY, "modified_ms", "file_len", "data_len", "hash", F.lit(algorithm).alias("algorithm"), F.lit(transform or PLAIN).alias("transform")).write.mode("append").partitionBy("algorithm", "transform").parquet(path)
 
 
 def chunk_rows(files: DataFrame, start: int = 0, length: Column | None = None) -> DataFrame:

@@ -203,7 +203,10 @@ def scan(spark: SparkSession, roots: list[str], content: bool = True, **options:
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of any store that Spark reads, as path, device, inode (a hash of the path), len, modified, content."""
+    """Files of any store that Spark reads, as path, device, inode (a hash of the path), len, modified, content.
+
+    Spark lists neither empty files nor names that begin with a full stop or an underscore.
+    """
     from pyspark.sql import functions as F
 
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

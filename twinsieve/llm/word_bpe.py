@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -17,6 +18,8 @@ _ASCII_SPACE = re.compile(r"[ \t\n\r]+")
 #: In a very long stretch without white space: between an ASCII letter and an ASCII sign no match or composition crosses.
 _SIGN = re.compile(r"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])")
 LONG_WORD = 20_000
+#: One run of letters, or one and a sign: what most words are.
+_SIMPLE = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]{1,64})([.,;:!?]?)")
 #: Of such words composition and lower case are those of each character, and the pattern's classes are these.
 _LATIN = re.compile("[\x21-\x7e\xa1-\xff]{1,64}")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -47,11 +50,26 @@ def words_of(text: str) -> list[str]:
         found = text.split()
     else:
         found = [w for w in _ASCII_SPACE.split(text) if w]
-    if len(text) > LONG_WORD and any(len(w) > LONG_WORD for w in found):
+    if len(text) > LONG_WORD and max(map(len, found), default=0) > LONG_WORD:
         found = [p for w in found for p in (_SIGN.split(w) if len(w) > LONG_WORD else (w,)) if p]
     return found
 
 
+class _Words(dict):
+    """word -> ids as bytes; a word that isn't there is looked up among older ones, or encoded."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts by a table of word -> ids, of which two generations of `most` words are kept.
 
@@ -59,50 +77,29 @@ class WordEncoder:
     finds in it, which the tokenizer's model encodes; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 120_000, part_chars: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer = load(path)
         self.model, self.signs = self.tokenizer.model, _byte_signs()
         self.pieces = Bounded(self._piece, 2 * most)
-        self.most, self.part_chars = most, part_chars
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.most = most
+        self.known = _Words(self._word, {})
 
     def _piece(self, piece: str) -> bytes:
         coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
-        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        missing = []
-        for w in words:
-            if (known := self.old.get(w)) is not None:
-                self.new[w] = known
-            elif _LATIN.fullmatch(w):
-                self.new[w] = b"".join(map(self.pieces.__getitem__, _PIECE.findall(w.lower())))
-            else:
-                missing.append(w)
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _part(self, texts: list[str], end: bytes) -> Iterator[np.ndarray]:
-        split = [words_of(t) for t in texts]
-        self._learn(set().union(*split).difference(self.new))
-        get = self.new.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(get, words)) + end, "<u4")
-        if len(self.new) > self.most:
-            self.old, self.new = {w: x for w, x in self.new.items() if len(w) <= 64}, {}
+        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if found := _SIMPLE.fullmatch(word):
+            stem, sign = found.groups()
+            return self.pieces[stem.lower()] + self.pieces[sign] if sign else self.pieces[stem.lower()]
+        if _LATIN.fullmatch(word):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: Iterable[str | None], end_id: int | None = None) -> Iterator[np.ndarray]:
         """Ids of each whole text (null: empty), followed by end_id if one is given."""
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        part, chars = [], 0
         for text in texts:
-            part.append(text or "")
-            chars += len(part[-1])
-            if chars >= self.part_chars:
-                yield from self._part(part, end)
-                part, chars = [], 0
-        if part:
-            yield from self._part(part, end)
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words_of(text or ""))) + end, "<u4")
+            if len(self.known) > self.most:
+                self.known = _Words(self._word, {w: x for w, x in self.known.items() if len(w) <= 64})

@@ -154,3 +154,14 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_script_order(spark):
     assert dedupe.sort_keys(["top", "newest"]) == [("created", False), ("place", False)] and dedupe.sort_keys(["newest", "top"]) == [("created", True), ("place", False)]
+
+
+def test_a_report_implies_options(spark, tmp_path, capsys):
+    made(tmp_path, {"r1/a": b"q", "r1/b": b"q", "r2/c": b"q", "r3/d": b"q"})
+    roots = [str(tmp_path / f"r{k}") for k in (1, 2, 3)]
+    assert main(["group", *roots, "--isolate", "--rf-over", "2", "-o", str(tmp_path / "out")]) == 0
+    later = (datetime.now(UTC) + timedelta(days=1)).isoformat()
+    assert main(["remove", str(tmp_path / "out"), "--modified-before", later]) == 0
+    assert capsys.readouterr().out.splitlines() == [f"rm {tmp_path}/r3/d"]
+    assert main(["move", str(tmp_path / "away"), str(tmp_path / "out"), "--modified-before", later, "--rf-over", "1", "--execute"]) == 0
+    assert sorted(os.listdir(tmp_path / "r1")) == ["a", "b"] and (tmp_path / f"away{tmp_path}/r2/c").read_bytes() == b"q"

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from .functions.digests import Algorithm
 from .functions.sizes import size_text
-from .operators import dedupe, execute
+from .operators import dedupe, execute, reports
 from .options import FORMATS, PRIORITIES, DedupeOptions, GroupOptions, OptionError
 from .plans import api
 from .session import local_session
@@ -39,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("-s", "--soft", action="store_true")
         c.add_argument("report")
         c.add_argument("--execute", action="store_true")
-        c.add_argument("-n", "--rf-over", type=int, default=1)
+        c.add_argument("-n", "--rf-over", type=int)
         c.add_argument("--priority", action="append", choices=PRIORITIES, default=[])
         for many in ("names", "paths", "keep-names", "keep-paths", "isolated"):
             c.add_argument(f"--{many}", action="append", default=[])
@@ -49,6 +50,20 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def inherited(path: str, given: dict) -> dict:
+    """Options that the report's own command implies, where they aren't given anew."""
+    words = list(reports.read_head(path).command)
+    if words[1:2] != ["group"]:
+        return {}
+    before = vars(parser().parse_args(words[1:]))
+    out: dict = {}
+    if given["rf_over"] is None:
+        out["rf_over"] = max(1, before["rf_over"] or 1)
+    if before["isolate"] and not given["isolated"]:
+        out["isolated"] = [os.path.abspath(r) for r in before["roots"]]
+    return out | {"match_links": given["match_links"] or before["match_links"], "no_check_size": given["no_check_size"] or before["transform"] is not None}
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
     given = vars(parser().parse_args(argv))
@@ -62,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         carry, path, soft = given.pop("execute"), given.pop("report"), given.pop("soft", False)
         operation = {"link": "symlink" if soft else "hardlink", "dedupe": "reflink"}.get(command, command)
-        plan = api.plan_report(spark, path, operation, DedupeOptions(**given))
+        plan = api.plan_report(spark, path, operation, DedupeOptions(**{"rf_over": 1} | {k: v for k, v in given.items() if v is not None} | inherited(path, given)))
         if not carry:
             for row in dedupe.script(plan).toLocalIterator():
                 print(row.line)

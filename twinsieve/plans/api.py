@@ -70,7 +70,7 @@ def report(spark: SparkSession, opts: GroupOptions, path: str, command: list[str
 def plan_report(spark: SparkSession, path: str, operation: str, opts: DedupeOptions) -> DataFrame:
     """The plan for a report's files, whose metadata is read anew."""
     header, members = reports.read(spark, path)
-    if opts.modified_before is None and header is not None:
+    if opts.modified_before is None:
         opts.modified_before = header.timestamp
     return dedupe_.plan(members, stat_files(members), operation, opts)
 

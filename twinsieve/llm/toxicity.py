@@ -67,9 +67,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     none = Model(np.zeros(0, "i8"), np.zeros(0, "f4"), np.zeros((0, FACTORS), "f4"), base, 1.0, 0.0)
     if len(set(labels.tolist())) < 2:
         return none
-    found, which = np.unique(np.concatenate(rows), return_inverse=True)
-    label_of = np.repeat(labels, [len(r) for r in rows])
-    counts, toxic = np.bincount(which, minlength=len(found)), np.bincount(which, label_of, len(found))
+    found, counts = np.unique(np.concatenate(rows), return_counts=True)
+    in_toxic, times = np.unique(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), return_counts=True)
+    toxic = np.zeros(len(found), "i8")
+    toxic[np.searchsorted(found, in_toxic)] = times
     spread = np.sqrt(counts / len(rows) * (1 - counts / len(rows)))
     noise = np.sqrt(share * (1 - share) / len(rows))
     z = (toxic - share * counts) / len(rows) / np.maximum(spread * noise, 1e-12)
@@ -156,7 +157,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_text", "_label").mapInArrow(run, "terms binary, label int").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    return fit([np.frombuffer(t, "i4").astype("i8") for t, _ in pairs], np.array([y for _, y in pairs], "i8"))
+    return fit([np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8"))
 
 
 class Scorer:

@@ -38,8 +38,8 @@ _SPAN = LENGTH - GRAM + 1
 PART, _PLACE = 1 << 19, 20
 #: Bytes of fragments whose suffixes are sorted at once, and how many of one anchor before it is divided.
 SORTED_BYTES, MOST_OF_ANCHOR = 1 << 20, 1 << 13
-#: Documents whose fragments give the splitters, for each partition, and at least.
-SAMPLED, SAMPLED_LEAST = 2, 400
+#: Documents that are sampled for splitters, for each partition, and at least; one in so many of their fragments counts.
+SAMPLED, SAMPLED_LEAST, THINNED = 32, 3000, 16
 _PACK = 128
 _COPY, _GO_ON, _HEAD, _TAIL = 0, 1, 2, 3
 
@@ -117,13 +117,19 @@ def _cut(docs: Iterable[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
         yield done()
 
 
-def _fragment_rows(docs: DataFrame, splitters: list[np.ndarray] | None) -> DataFrame:
-    """docs (doc bigint, bytes binary) -> part, m (anchor), h (digest), doc, pc (place * 128 + suffixes)."""
+def _fragment_rows(docs: DataFrame, splitters: list[np.ndarray] | None, thinned: int = 1) -> DataFrame:
+    """docs (doc bigint, bytes binary) -> part, m (anchor), h (digest), doc, pc (place * 128 + suffixes).
+
+    Of `thinned` rows one is given, chosen by a hash of document and place.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, at, count, m, h in _cut(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 pc = at * _PACK + count
+                if thinned > 1:
+                    chosen = _mix((doc * 0x9E3779B1 + pc).astype("u8")) % np.uint64(thinned) == 0
+                    m, h, doc, pc = (x[chosen] for x in (m, h, doc, pc))
                 part = _part_of(splitters, m, h, doc, pc) if splitters else np.zeros(len(m), "i4")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), pa.array(m), pa.array(h), pa.array(doc), pa.array(pc)], names=["part", "m", "h", "doc", "pc"])
 
@@ -150,14 +156,14 @@ def _part_of(splitters: list[np.ndarray], *keys: np.ndarray) -> np.ndarray:
 def _splitters(docs: DataFrame, parts: int) -> list[np.ndarray] | None:
     """parts - 1 keys that divide the fragments of sampled documents evenly; None if one partition will do.
 
-    Some 2 documents a partition are sampled by a hash of their numbers. They only balance the partitions.
+    Some 32 documents a partition are sampled by a hash of their numbers. They only balance the partitions.
     """
     n = docs.count()
     if parts < 2 or n < 2:
         return None
     share = min(1.0, max(SAMPLED_LEAST, SAMPLED * parts) / n)
     chosen = docs.filter(F.pmod(F.xxhash64("doc", F.lit("splitters")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    got = _fragment_rows(chosen, None).drop("part").toArrow()
+    got = _fragment_rows(chosen, None, THINNED).drop("part").toArrow()
     keys = [got.column(c).to_numpy() for c in ("m", "h", "doc", "pc")]
     order = np.lexsort(keys[::-1])
     if not len(order):

@@ -125,6 +125,10 @@ def test_digests(spark):
     df = spark.createDataFrame([(d,) for d in data], "c binary")
     for a in digests.Algorithm:
         got = [r[0] for r in df.select(digests.digest(F.col("c"), a)).collect()]
+        stream = digests.Stream(a)
+        for k in range(0, 5000, 999):
+            stream.update(data[4][k : k + 999])
+        assert stream.hexdigest() == got[4]
         assert got == [None if d is None else digests.in_python(a)(d).hex() for d in data] and len(set(got)) == 6
     assert digests.Algorithm.parse("xxhash") == digests.Algorithm.parse("XXHASH3") and digests.in_python(digests.Algorithm.SHA3_256)(b"a") == hashlib.sha3_256(b"a").digest()
     with pytest.raises(ValueError):

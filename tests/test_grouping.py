@@ -124,7 +124,7 @@ def test_cache(spark, tmp_path):
     cache.store(old, path, "sha256")
     cache.store(old.filter("inode = 0"), path, "md5", "head")
     kept = cache.opened(spark, path, "sha256")
-    got = {r.inode: r.hash for r in cache.through(chunks, kept, F.lit("computed")).collect()}
+    got = {r.inode: r.hash for r in cache.through(chunks, kept, lambda missed: missed.withColumn("hash", F.lit("computed"))).collect()}
     assert got == {0: "hit", 1: "computed", 2: "computed", 3: "computed"}
     other = cache.chunk_rows(rows, 0, F.lit(3))
     assert {r.cached_hash for r in cache.lookup(other, kept).collect()} == {None} and cache.opened(spark, path, "md5").count() == 0

@@ -70,6 +70,31 @@ def in_python(algorithm: Algorithm) -> Callable[[bytes], bytes]:
     }[algorithm]
 
 
+class Stream:
+    """A digest fed piece by piece: update(bytes), hexdigest(). Algorithms without such a form hold the whole content."""
+
+    def __init__(self, algorithm: Algorithm):
+        self.of, self.held = in_python(algorithm), None
+        name = {Algorithm.SHA3_256: "sha3_256", Algorithm.SHA3_512: "sha3_512"}.get(algorithm, algorithm.value)
+        if algorithm == Algorithm.XXHASH3:
+            import xxhash
+
+            self.state = xxhash.xxh3_128()
+        elif name in hashlib.algorithms_available:
+            self.state = hashlib.new(name, usedforsecurity=False)
+        else:
+            self.held = bytearray()
+
+    def update(self, data: bytes) -> None:
+        if self.held is None:
+            self.state.update(data)
+        else:
+            self.held += data
+
+    def hexdigest(self) -> str:
+        return self.state.hexdigest() if self.held is None else self.of(bytes(self.held)).hex()
+
+
 def digest(content: Column, algorithm: Algorithm | str = Algorithm.SHA256) -> Column:
     """The hexadecimal digest of a binary column; null for null."""
     algorithm = Algorithm.parse(algorithm)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ def lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return met.withColumn("cached_hash", F.when(valid, F.col("_hash"))).withColumn("cached_len", F.when(valid, F.col("_data_len"))).drop("_ms", "_len", "_hash", "_data_len")
 
 
-def through(chunks: DataFrame, cache: DataFrame, computed: Column) -> DataFrame:
-    """lookup() with hash: the cached one, or the computed one, which is only evaluated where the cache misses."""
+def through(chunks: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """chunks with hash and cached_hash: what the cache has, else what compute() adds, as hash, to those it hasn't."""
     met = lookup(chunks, cache)
-    return met.withColumn("hash", F.when(F.col("cached_hash").isNotNull(), F.col("cached_hash")).otherwise(computed))
+    hits = met.filter("cached_hash IS NOT NULL").withColumn("hash", F.col("cached_hash"))
+    return hits.unionByName(compute(met.filter("cached_hash IS NULL")))
 
 
 def merged(cache: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ Rows stay flat, one for each file; a group's array of files is made by a sink al
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,32 +83,37 @@ def with_suffix(files: DataFrame, opts: GroupOptions) -> DataFrame:
 
 
 def with_content(files: DataFrame, opts: GroupOptions) -> DataFrame:
-    """file_hash of the whole content; where the prefix is the whole content, its digest is taken over."""
-    if "prefix_hash" in files.columns:
-        rest = digests.digest(F.when(F.col("len") > opts.prefix, F.col("content")), opts.hash_fn)
-        return files.withColumn("file_hash", F.coalesce(rest, F.col("prefix_hash")))
+    """file_hash of the whole content."""
     return files.withColumn("file_hash", digests.digest(F.col("content"), opts.hash_fn))
 
 
 def fan_out(files: DataFrame, opts: GroupOptions) -> DataFrame:
-    """file_hash of every file, computed once for each inode and joined to all of its links."""
-    once = files.dropDuplicates(["device", "inode"]).select("device", "inode", digests.digest(F.col("content"), opts.hash_fn).alias("file_hash"))
-    return files.drop("content").join(once, ["device", "inode"])
+    """file_hash of every file, the same for all links of an inode."""
+    hashed = with_content(files, opts).drop("content")
+    once = hashed.groupBy("device", "inode").agg(F.min("file_hash").alias("file_hash"))
+    return hashed.drop("file_hash").join(once, ["device", "inode"])
 
 
-def cascade(files: DataFrame, opts: GroupOptions) -> DataFrame:
+#: The keys that a stage of the cascade adds.
+STAGES = (("prefix_hash",), ("prefix_hash", "suffix_hash"), ("file_hash",))
+
+
+def cascade(files: DataFrame, opts: GroupOptions, read: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Members of reported groups by refinement: size, prefix, suffix, content, each on what the last one left.
 
-    Meant for sources whose content is dear to read: files (path, device, inode, len) and a lazily read content.
+    read(files, column) adds prefix_hash, suffix_hash or file_hash to the files that are left, so that contents are read
+    for those alone. Without it, files have a content column: then all digests are made at the scan, as it is cheaper to
+    hash a content there than to carry it through a shuffle.
     """
+    if read is None:
+        files = with_suffix(with_prefix(files, opts), opts)
+        files = (files if opts.skip_content_hash else with_content(files, opts)).drop("content")
     out = by_size(files, opts)
-    out = pruned(with_prefix(out, opts), ["len", "prefix_hash"], opts)
-    out = pruned(with_suffix(out, opts), ["len", "prefix_hash", "suffix_hash"], opts)
+    for keys in STAGES[:2] if opts.skip_content_hash else STAGES:
+        out = pruned(read(out, keys[-1]) if read else out, ["len", *keys], opts)
     if opts.skip_content_hash:
         out = out.withColumn("file_hash", F.concat_ws("", "prefix_hash", "suffix_hash"))
-    else:
-        out = with_content(out, opts)
-    out = out.withColumnRenamed("len", "file_len").drop("content", "prefix_hash", "suffix_hash")
+    out = out.withColumnRenamed("len", "file_len").drop("prefix_hash", "suffix_hash")
     return pruned(out, KEYS, opts, strict=True)
 
 

@@ -20,16 +20,54 @@ def scan_tree(spark: SparkSession, opts: GroupOptions, content: bool = True) ->
 
 
 def group_tree(spark: SparkSession, opts: GroupOptions) -> DataFrame:
-    """Members of the groups to report. Contents are read for files whose length another file has, too."""
+    """Members of the groups to report. Of the files that a stage leaves, the next one reads what it needs."""
     from dataclasses import replace
 
     listed = scan_tree(spark, opts, content=False).drop("content")
     flat = replace(opts, hidden=True, depth=None)  # the walk has seen to these
     chosen = grouping.selected(grouping.unique_paths(listed), flat)
-    if opts.transform is None:
-        chosen = grouping.by_size(chosen, opts)
-    members = grouping.transformed(read_content(chosen), opts) if opts.transform is not None else grouping.cascade(read_content(chosen), opts)
-    return members
+    if opts.transform is not None:
+        return grouping.transformed(read_content(chosen), opts)
+    return grouping.cascade(chosen, opts, lambda files, column: with_digest(files, column, opts))
+
+
+def with_digest(files: DataFrame, column: str, opts: GroupOptions) -> DataFrame:
+    """files with prefix_hash, suffix_hash or file_hash, read by the tasks that hold them, 64 KiB at a time.
+
+    A file that can't be read is dropped. A short file's prefix is all of it, and its suffix isn't read. Of the links of
+    an inode one is read.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from ..functions.digests import Stream
+
+    prefix, suffix, suffix_from, algorithm = opts.prefix, opts.suffix, opts.suffix_from, opts.hash_fn
+
+    def read(path: str, size: int) -> str | None:
+        if column == "suffix_hash" and size < suffix_from:
+            return ""
+        stream = Stream(algorithm)
+        left = prefix if column == "prefix_hash" else suffix if column == "suffix_hash" else size
+        try:
+            with open(path, "rb") as f:
+                if column == "suffix_hash":
+                    f.seek(max(0, size - suffix))
+                while left > 0 and (data := f.read(min(left, 1 << 16))):
+                    stream.update(data)
+                    left -= len(data)
+        except OSError:
+            return None
+        return stream.hexdigest()
+
+    def run(batches):
+        for batch in batches:
+            found = [read(p, n) for p, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["device", "inode", column])
+            yield made.filter(pa.array([x is not None for x in found], pa.bool_()))
+
+    once = files.groupBy("device", "inode").agg(F.min("path").alias("path"), F.min("len").alias("len"))
+    return files.join(once.mapInArrow(run, f"device bigint, inode bigint, {column} string"), ["device", "inode"])
 
 
 def read_content(files: DataFrame) -> DataFrame:

@@ -44,13 +44,10 @@ _STAGES = (
 
 def _stage(spark, sf_dir, number):
     opts = GroupOptions(hash_fn="md5", **SMALL)
-    out = grouping.by_size(_all(spark, sf_dir), opts)
-    if number > 1:
-        out = grouping.pruned(grouping.with_prefix(out, opts), ["len", "prefix_hash"], opts)
-    if number > 2:
-        out = grouping.pruned(grouping.with_suffix(out, opts), ["len", "prefix_hash", "suffix_hash"], opts)
-    if number > 3:
-        out = grouping.pruned(grouping.with_content(out, opts), ["len", "file_hash"], opts)
+    out = grouping.with_content(grouping.with_suffix(grouping.with_prefix(_all(spark, sf_dir), opts), opts), opts).drop("content")
+    out = grouping.by_size(out, opts)
+    for keys in grouping.STAGES[: number - 1]:
+        out = grouping.pruned(out, ["len", *keys], opts)
     return out
 
 
@@ -90,9 +87,9 @@ def _(spark, sf_dir):
 @query("rehash_prefilter", f"WITH {LINKED}, c AS (SELECT *, min(inode) OVER (PARTITION BY len) <> max(inode) OVER (PARTITION BY len) AS more FROM files) SELECT path, CASE WHEN more THEN sha256(content) END AS file_hash FROM c")
 def _(spark, sf_dir):
     """Files that are alone in their length need no digest."""
-    files = _all(spark, sf_dir, True)
+    files = _all(spark, sf_dir, True).withColumn("hash", digests.digest(F.col("content"))).drop("content")
     need = files.groupBy("len").agg((F.min("inode") != F.max("inode")).alias("_more"))
-    return files.join(need, "len").select("path", digests.digest(F.when(F.col("_more"), F.col("content"))).alias("file_hash"))
+    return files.join(need, "len").select("path", F.when(F.col("_more"), F.col("hash")).alias("file_hash"))
 
 
 @query("group_transformed", f"WITH {FILES}, t AS (SELECT path, len, content[1:200] AS c FROM files) SELECT CAST(least(len, 200) AS BIGINT) AS file_len, sha256(c) AS file_hash, count(*) AS n_files FROM t GROUP BY 1, 2 HAVING count(*) > 1")
@@ -214,32 +211,32 @@ def _(spark, sf_dir):
 
 
 def _cached(spark, sf_dir):
-    """Chunks of all files, and a cache with entries that are valid, older than the file, or of another length."""
-    meta = documents.metadata(spark, sf_dir).join(documents.files(spark, sf_dir).select("path", "content"), "path")
-    chunks = cache.chunk_rows(meta)
+    """Chunks of all files, a cache with entries that are valid, older than the file, or of another length, and what computes digests."""
+    chunks = cache.chunk_rows(documents.metadata(spark, sf_dir))
     old = chunks.filter("inode % 4 <> 3").select(
         "device", "inode", "chunk_pos", "chunk_len", (F.col("modified_ms") - (F.col("inode") % 4 == 1).cast("bigint")).alias("modified_ms"), (F.col("len") + (F.col("inode") % 4 == 2).cast("bigint")).alias("file_len"),
         F.col("len").alias("data_len"), F.concat(F.lit("cached"), F.col("inode").cast("string")).alias("hash"),
     )
-    return chunks, old
+    hashed = documents.files(spark, sf_dir).select("path", digests.digest(F.col("content")).alias("hash"))
+    return chunks, old, lambda missed: missed.join(hashed, "path")
 
 
 @query("hash_cache_lookup", f"WITH {FILES} SELECT path, CASE WHEN inode % 4 = 0 THEN 'cached' || inode END AS cached_hash FROM files")
 def _(spark, sf_dir):
-    chunks, old = _cached(spark, sf_dir)
+    chunks, old, _ = _cached(spark, sf_dir)
     return cache.lookup(chunks, old).select("path", "cached_hash")
 
 
 @query("cache_join", f"WITH {FILES} SELECT path, CASE WHEN inode % 4 = 0 THEN 'cached' || inode ELSE sha256(content) END AS hash FROM files")
 def _(spark, sf_dir):
-    chunks, old = _cached(spark, sf_dir)
-    return cache.through(chunks, old, digests.digest(F.col("content"))).select("path", "hash")
+    chunks, old, compute = _cached(spark, sf_dir)
+    return cache.through(chunks, old, compute).select("path", "hash")
 
 
 @query("hash_cache_store", f"WITH {META} SELECT inode, len AS file_len, CASE WHEN inode % 4 = 0 THEN 'cached' || inode ELSE sha256(content) END AS hash, 1000 * modified AS modified_ms FROM meta WHERE path NOT LIKE '/links/%'")
 def _(spark, sf_dir):
     """The cache after a run: what was computed replaces what was stale, and adds what was missing."""
-    chunks, old = _cached(spark, sf_dir)
-    met = cache.through(chunks, old, digests.digest(F.col("content")))
+    chunks, old, compute = _cached(spark, sf_dir)
+    met = cache.through(chunks, old, compute)
     new = met.filter("cached_hash IS NULL").select(*cache.KEY, "modified_ms", F.col("len").alias("file_len"), F.col("len").alias("data_len"), "hash")
     return cache.merged(old, new).select("inode", "file_len", "hash", "modified_ms")

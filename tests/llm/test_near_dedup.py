@@ -13,13 +13,20 @@ def brute(rows):
         w = re.findall(r"\w+", (t or "").lower())
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     ids = sorted(sets)
-    forest = N.Forest(len(ids))
+    up = list(range(len(ids)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
     for x, a in enumerate(ids):
         for y in range(x):
             s, t = sets[a], sets[ids[y]]
             if s and t and len(s & t) >= 0.8 * len(s | t):
-                forest.join(x, y)
-    return {a: ids[forest.root(x)] for x, a in enumerate(ids)}
+                p, q = root(x), root(y)
+                up[max(p, q)] = min(p, q)
+    return {a: ids[root(x)] for x, a in enumerate(ids)}
 
 
 def corpus(rng, n):
@@ -65,8 +72,8 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     texts = [None, "", " ,, ", "short text", "short text", "Short, text!", "long one " * 30_000, *corpus(rng, 180)]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows] + [(None, texts[3], 1), (9, texts[9], 1)], "doc_id long, text string, class_id int")
-    for block in (512, 7):
-        monkeypatch.setattr(N, "EXACT_BLOCK", block)
+    for block in (512, 5):
+        monkeypatch.setattr(N, "EXACT_BYTES", 700 * block)
         monkeypatch.setattr(N, "BUCKET_BLOCK", block)
         got = N.classes(df).collect()
         assert len(got) == len(rows) + 2
@@ -74,3 +81,19 @@ def test_classes_equal_brute_force(spark, monkeypatch):
         assert all(r.keep == (r.doc_id is None or r.doc_id == r.class_id) for r in got)
         if block == 512:
             assert N.classes(df.limit(0)).count() == 0
+
+
+def test_a_large_key_is_linked_by_its_centre_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = {i: int(x) for i, x in enumerate(rng.choice([*range(0, 40), *range(100, 130), 500, 503], 150))}
+    near = lambda values, a, rest: np.array([abs(int(values[a]) - int(values[b])) <= 2 for b in rest])
+    rows = spark.createDataFrame([(7, i, 1) for i in points] + [(8, 900, 1)], "key long, id long, w long")
+    values = spark.createDataFrame([(i, str(x).encode()) for i, x in points.items()] + [(900, b"1")], "id long, v binary")
+    runs: list[list[int]] = []
+    for x in sorted(set(points.values())):
+        runs = [*runs[:-1], [*runs[-1], x]] if runs and x - runs[-1][-1] <= 2 else [*runs, [x]]
+    groups = [[i for i, x in points.items() if x in run] for run in runs]
+    want = {i: min(g) for g in groups if len(g) > 1 for i in g}
+    for size in (1000, 20, 3):
+        links = N._linked(rows, values, "key", "v", size, near)
+        assert {r.id: r.root for r in components(links).collect()} == want

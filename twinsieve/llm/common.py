@@ -20,13 +20,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def kept(key: Any, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker makes once and keeps over its tasks."""
+    """An object that a Python worker makes once and keeps over its tasks, until another one is asked for."""
     store = sys.__dict__.setdefault("_twinsieve_kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold texts go to Python 2000 at a time, unless the session has a number of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
+
+
 class Bounded(dict):
     """word -> value by make(word), forgotten as a whole beyond `most` words; long words are not kept."""
 

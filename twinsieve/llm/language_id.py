@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, table
+from .common import held_out, kept, small_batches, table
 
 UNKNOWN = "und"
 BUCKETS, ORDERS, DIMENSIONS = 1 << 16, (1, 2, 3, 4), 16
@@ -166,6 +166,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     A null text or one without a letter gets `und`, score 0 and is not accepted; without a model every text does.
     Rows are judged one by one, so repeated ones get the same result. Other columns are not read.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float for each language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +192,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is recognised, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

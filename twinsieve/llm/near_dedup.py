@@ -7,7 +7,8 @@ weighted Jaccard similarity. Bands of coordinates give candidates. Then, without
 
 1. documents of equal shingle sets are one representative;
 2. in each bucket of a band, sketches link members that may be similar enough; only a spanning forest is kept;
-3. within the components of these links, shingle sets are compared exactly, block against block;
+3. within the components of these links, shingle sets are compared exactly, until what is connected is known to be:
+   members of a large component with one of them first, what is left with the others, block against block;
 4. the components of the exact links are the classes.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import Bounded, kept, table
+from .common import Bounded, kept, small_batches, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -31,9 +32,11 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 #: A pair of similarity 0.8 agrees in fewer than this share of coordinates once in some 300,000 times.
 SKETCH_SHARE = 0.66
-#: Members of a bucket, or of a component, that are compared in one go; larger ones are cut into blocks.
-BUCKET_BLOCK, EXACT_BLOCK = 2048, 512
+#: Members of a bucket, and bytes of the sets of a component, that are compared in one go; larger ones are cut into blocks.
+BUCKET_BLOCK, EXACT_BYTES = 2048, 4 << 20
 PART = 1 << 20
+#: near(values, a, rest): which of the places `rest` are near the place a
+Near = Callable[[list[bytes], int, np.ndarray], np.ndarray]
 _GOLDEN, _A, _B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -160,47 +163,61 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id bigint, same binary, bands array<bigint>, sketch binary")
 
 
-class Forest:
-    """Union-find over 0..n-1."""
+def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int, near: Near) -> DataFrame:
+    """a, b: links of ids that connect all members (rows: key, id, w) of a key that are near, directly or by others.
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    Members of a key whose weights w sum up to `size` or less are compared in one task. Of a larger key all are compared
+    with its least id first, which links the copies of one text in linear work, and what is far from that one is
+    compared, in blocks, with its like and with all the others. values: id and what near() compares.
+    """
+    totals = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("w").alias("_w")).filter("_n > 1").select(key, F.ceil(F.col("_w") / size).cast("int").alias("_k"))
+    whole, flags = rows.join(totals, key), ("left", "right", "tied")
+    yes, no = F.lit(True), F.lit(False)
+    met = whole.filter("_k = 1").select(key, F.lit(0).cast("bigint").alias("pair"), "id", *(x.alias(n) for x, n in zip((yes, yes, no), flags, strict=True)))
+    large = materialise(whole.filter("_k > 1").select(key, "id", "w"), "large")
+    if large.limit(1).count() == 0:
+        return _by_group(met.join(values, "id"), key, value, near)
+    centres = large.groupBy(key).agg(F.min("id").alias("c"))
+    centres = centres.join(values.select(F.col("id").alias("c"), F.col(value).alias("_centre")), "c")
+
+    def to_centre(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [near([centre, mine], 0, np.array([1]))[0] for mine, centre in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok, pa.bool_())], names=[key, "id", "w", "c", "ok"])
 
-    def root(self, k: int) -> int:
-        up = self.up
-        while up[k] != k:
-            up[k] = up[up[k]]
-            k = up[k]
-        return k
+    kind = rows.schema[key].dataType.simpleString()
+    star = large.join(centres, key).join(values, "id").select(key, "id", "w", "c", value, "_centre").mapInArrow(to_centre, f"{key} {kind}, id bigint, w bigint, c bigint, ok boolean")
+    star = materialise(star, "star")
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy(key).agg(F.ceil(F.sum("w") / size).cast("int").alias(name))
 
+    def dealt(of: DataFrame, many: str) -> DataFrame:
+        return of.withColumn("_b", F.pmod(F.xxhash64("id", F.lit("block")), F.col(many)).cast("bigint"))
 
-def _blocks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Deal members (key, id, ...) to groups of at most about two blocks: key, pair, left, right.
+    counts = blocks(star.filter("NOT ok"), "_r").join(blocks(star.filter("ok"), "_d"), key)
+    rest, tied = dealt(star.filter("NOT ok").join(counts, key), "_r"), dealt(star.filter("ok").join(counts, key), "_d")
 
-    A key with up to `size` members is one group. A larger one is cut into blocks by a hash of the id, and each two
-    blocks make a group, so that any two members meet. left, right: which sides of the group a member stands on.
-    """
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.ceil(F.col("_n") / size).cast("int").alias("_k"))
-    rows = df.join(counts, key).withColumn("_b", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_k")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    pair = F.least("_b", "_o") * F.col("_k") + F.greatest("_b", "_o")
-    return rows.select(key, pair.cast("bigint").alias("pair"), "id", (F.col("_b") <= F.col("_o")).alias("left"), (F.col("_b") >= F.col("_o")).alias("right"), *[c for c in df.columns if c not in (key, "id")])
+    def turned(of: DataFrame, times: str) -> DataFrame:
+        return of.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times).cast("bigint") - 1)))
 
+    base, b, o = F.col("_r").cast("bigint") * F.col("_r"), F.col("_b"), F.col("_o")
+    among = turned(rest, "_r").select(key, (F.least(b, o) * F.col("_r") + F.greatest(b, o)).alias("pair"), "id", (b <= o).alias("left"), (b >= o).alias("right"), no.alias("tied"))
+    against = turned(rest, "_d").select(key, (base + b * F.col("_d") + o).alias("pair"), "id", yes.alias("left"), no.alias("right"), no.alias("tied"))
+    others = turned(tied, "_r").select(key, (base + o * F.col("_d") + b).alias("pair"), "id", no.alias("left"), yes.alias("right"), yes.alias("tied"))
+    met = met.union(among).union(against).union(others)
+    return _by_group(met.join(values, "id"), key, value, near).union(star.filter("ok AND id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")))
 
-def _by_group(df: DataFrame, key: str, value: str, links: Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], Iterator[tuple[int, int]]]) -> DataFrame:
-    """Links of ids from each group of _blocks(), whose rows a task reads one group after another."""
+
+def _by_group(df: DataFrame, key: str, value: str, near: Near) -> DataFrame:
+    """Links of ids from each (key, pair), whose rows a task reads one group after another: a spanning forest of each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list[tuple]) -> None:
             if len(rows) > 1:
-                ids = np.array([r[0] for r in rows], "i8")
-                for a, b in links(ids, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]):
-                    out.append((int(ids[a]), int(ids[b])))
+                ids, left, right, tied, values = zip(*rows, strict=True)
+                for a, b in spanning(values, np.array(left), np.array(right), np.array(tied), near):
+                    out.append((ids[a], ids[b]))
 
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -219,52 +236,43 @@ def _by_group(df: DataFrame, key: str, value: str, links: Callable[[np.ndarray,
         flush(held)
         yield made()
 
-    return df.select(key, "pair", "id", "left", "right", value).repartition(key, "pair").sortWithinPartitions(key, "pair", "id").mapInArrow(run, "a bigint, b bigint")
+    return df.select(key, "pair", "id", "left", "right", "tied", value).repartition(key, "pair").sortWithinPartitions(key, "pair", "id").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sketch_links(ids: np.ndarray, left: np.ndarray, right: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-    if len(ids) == 2:
-        x, y = (np.frombuffer(s, "u1") for s in sketches)
-        if (x == y).mean() >= SKETCH_SHARE:
-            yield 0, 1
-        return
-    s = np.frombuffer(b"".join(sketches), "u1").reshape(len(ids), -1)
-    forest = Forest(len(ids))
-    least = int(np.ceil(SKETCH_SHARE * s.shape[1]))
+def spanning(values: list[bytes], left: np.ndarray, right: np.ndarray, tied: np.ndarray, near: Near) -> Iterator[tuple[int, int]]:
+    """Pairs of a left and a right member that are near, as many as connect what is connected; tied ones are already."""
+    part = np.arange(len(values))
+    part[tied] = np.flatnonzero(tied)[0] if tied.any() else 0
     opposite = np.flatnonzero(right)
     for a in np.flatnonzero(left):
         rest = opposite[opposite > a] if right[a] else opposite
+        rest = rest[part[rest] != part[a]]
         if len(rest):
-            for b in rest[(s[rest] == s[a]).sum(1) >= least]:
-                if forest.join(int(a), int(b)):
+            for b in rest[near(values, int(a), rest)]:
+                if part[b] != part[a]:
                     yield int(a), int(b)
+                    part[part == part[b]] = part[a]
 
 
-def _exact_links(ids: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[bytes]) -> Iterator[tuple[int, int]]:
-    arrays = [np.frombuffer(s, "u8") for s in sets]
-    sizes = np.array([len(x) for x in arrays])
-    if len(arrays) == 2:
-        common = len(np.intersect1d(*arrays, assume_unique=True))
-        if common >= SIMILARITY * (sizes.sum() - common) - 1e-9:
-            yield 0, 1
-        return
-    distinct, place = np.unique(np.concatenate(arrays), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    forest, flag = Forest(len(ids)), np.zeros(len(distinct), "i4")
-    opposite = np.flatnonzero(right)
-    for a in np.flatnonzero(left):
-        rest = opposite[opposite > a] if right[a] else opposite
-        rest = rest[(sizes[rest] >= SIMILARITY * sizes[a] - 1e-9) & (sizes[a] >= SIMILARITY * sizes[rest] - 1e-9)]
-        if not len(rest):
-            continue
-        own = place[starts[a] : starts[a] + sizes[a]]
-        flag[own] = 1
-        gathered = np.concatenate([place[starts[b] : starts[b] + sizes[b]] for b in rest])
-        common = np.add.reduceat(flag[gathered], np.cumsum(sizes[rest]) - sizes[rest])
-        flag[own] = 0
-        for b in rest[common >= SIMILARITY * (sizes[a] + sizes[rest] - common) - 1e-9]:
-            if forest.join(int(a), int(b)):
-                yield int(a), int(b)
+def near_sketches(sketches: list[bytes], a: int, rest: np.ndarray) -> np.ndarray:
+    """Which of `rest` agree with a in enough coordinates."""
+    s = np.frombuffer(b"".join([sketches[b] for b in rest]), "u1").reshape(len(rest), -1)
+    return (s == np.frombuffer(sketches[a], "u1")).sum(1) >= np.ceil(SKETCH_SHARE * s.shape[1])
+
+
+def near_sets(sets: list[bytes], a: int, rest: np.ndarray) -> np.ndarray:
+    """Which of `rest` have a Jaccard similarity of SIMILARITY or more with a; sets are sorted."""
+    own = np.frombuffer(sets[a], "u8")
+    sizes = np.array([len(sets[b]) // 8 for b in rest])
+    out = (sizes >= SIMILARITY * len(own) - 1e-9) & (len(own) >= SIMILARITY * sizes - 1e-9)
+    possible = np.flatnonzero(out)
+    for start in range(0, len(possible), 64):
+        some = possible[start : start + 64]
+        gathered = np.concatenate([np.frombuffer(sets[rest[k]], "u8") for k in some])
+        at = np.minimum(np.searchsorted(own, gathered), len(own) - 1)
+        common = np.add.reduceat((own[at] == gathered).astype("i8"), np.cumsum(sizes[some]) - sizes[some])
+        out[some] = common >= SIMILARITY * (len(own) + sizes[some] - common) - 1e-9
+    return out
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,13 +283,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     component of links. A null or empty text, or one without words, is a class of its own, as is a null id. Rows with
     the same id are one document. Other columns are neither read nor returned.
     """
+    small_batches(df.sparkSession)
     signed = materialise(sign(df, id_col, text_col), "signed")
     same = signed.filter("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
     one = signed.filter("same IS NOT NULL AND id IS NOT NULL").select("same", "id", "bands", "sketch")
     members = materialise(one.select("same", "id").join(same, "same").select("id", "rep"), "members")
     reps = one.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
-    rows = reps.select(F.explode("bands").alias("bucket"), "id", "sketch")
-    maybe = _by_group(_blocks(rows.select("bucket", "id"), "bucket", BUCKET_BLOCK).join(reps.select("id", "sketch"), "id"), "bucket", "sketch", _sketch_links)
+    rows = reps.select(F.explode("bands").alias("bucket"), "id", F.lit(1).cast("bigint").alias("w"))
+    maybe = _linked(rows, reps.select("id", "sketch"), "bucket", "sketch", BUCKET_BLOCK, near_sketches)
     near = materialise(components(maybe), "near")
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +302,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("_text"))
     sets = near.join(texts, "id").dropDuplicates(["id"]).select("root", "id", "_text").mapInArrow(to_sets, "root bigint, id bigint, set binary")
     sets = materialise(sets, "sets")
-    links = _by_group(_blocks(sets.select("root", "id"), "root", EXACT_BLOCK).join(sets.select("id", "set"), "id"), "root", "set", _exact_links)
+    members_of = sets.select("root", "id", F.octet_length("set").cast("bigint").alias("w"))
+    links = _linked(members_of, sets.select("id", "set"), "root", "set", EXACT_BYTES, near_sets)
     roots = components(links).select(F.col("id").alias("rep"), F.col("root").alias("_class"))
     found = members.distinct().join(roots, "rep", "left").select(F.col("id").alias("_id"), F.coalesce("_class", "rep").alias("_class"))
     found = found.groupBy("_id").agg(F.min("_class").alias("_class"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path
-from .common import kept, table
+from .common import kept, small_batches, table
 from .word_bpe import VOCABULARY, WordEncoder
 
 MAGIC = b"TWSSTAB1"
@@ -221,6 +221,7 @@ def encode(df: DataFrame, vocabulary: str, end_id: int, width: int = 2, id_col:
             out = [x.astype(f"<u{width}").tobytes() for x in encoder.encode(batch.column(1).to_pylist(), end_id)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "ids"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 

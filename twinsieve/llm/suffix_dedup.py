@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import table
+from .common import small_batches, table
 
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1
@@ -416,6 +416,7 @@ def removed(docs: DataFrame) -> DataFrame:
     Spans may overlap; their union is what is covered by a 100-byte string that also starts earlier.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = _parts(spark)
     splitters = _splitters(docs, parts)
     found = materialise(_compared(_fragment_rows(docs, splitters), len(splitters[0]) + 1 if splitters else 1), "fragments")

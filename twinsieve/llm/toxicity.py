@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, kept, table
+from .common import Bounded, held_out, small_batches, table
 
 THRESHOLD = 0.7
 FACTORS = 6
@@ -182,6 +182,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
 
     A null text counts as an empty one, which gets the score of no term; repeated rows get the same score.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms of 1 + FACTORS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +197,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs scored under the threshold, with all their columns."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

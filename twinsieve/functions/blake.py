@@ -32,27 +32,39 @@ def _compress(chain: np.ndarray, words: np.ndarray, counter: np.ndarray, length:
 
 
 def blake3(data: bytes) -> bytes:
-    chunks = max(1, -(-len(data) // 1024))
-    padded = np.zeros(chunks * 1024, "u1")
-    padded[: len(data)] = np.frombuffer(data, "u1")
-    words = padded.view("<u4").reshape(chunks, 16, 16)
-    sizes = np.full(chunks, 1024)
-    sizes[-1] = len(data) - 1024 * (chunks - 1)
+    return blake3_many([data])[0]
+
+
+def blake3_many(messages: list[bytes]) -> list[bytes]:
+    """Digests of many messages: all their chunks, and then the nodes of all trees level by level, are computed at once."""
+    if not messages:
+        return []
+    lengths = np.array([len(m) for m in messages])
+    chunks = np.maximum(1, -(-lengths // 1024))
+    owner = np.repeat(np.arange(len(messages)), chunks)
+    counter = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    words = np.frombuffer(b"".join(m.ljust(int(c) * 1024, b"\0") for m, c in zip(messages, chunks, strict=True)), "<u4").reshape(-1, 16, 16)
+    sizes = np.minimum(1024, lengths[owner] - 1024 * counter)
     blocks = np.maximum(1, -(-sizes // 64))
-    chain = np.repeat(np.array(IV, "u4")[:, None], chunks, 1)
-    counter = np.arange(chunks, dtype="u8")
+    lone = chunks[owner] == 1
+    chain = np.repeat(np.array(IV, "u4")[:, None], len(owner), 1)
     for k in range(16):
         on = np.flatnonzero(blocks > k)
+        if not len(on):
+            break
         last = blocks[on] == k + 1
-        flags = (k == 0) * _START + last * _END + (last & (chunks == 1)) * _ROOT
+        flags = (k == 0) * _START + last * _END + (last & lone[on]) * _ROOT
         length = np.where(last, sizes[on] - 64 * k, 64)
-        chain[:, on] = _compress(chain[:, on], words[on, k].T.copy(), counter[on], length.astype("u4"), flags.astype("u4"))
+        chain[:, on] = _compress(chain[:, on], words[on, k].T.copy(), counter[on].astype("u8"), length.astype("u4"), flags.astype("u4"))
     # the left subtree of a node is the largest power of two of chunks: pairing neighbours level by level gives that
-    while chain.shape[1] > 1:
-        n = chain.shape[1]
-        pairs = np.concatenate([chain[:, 0 : n - n % 2 : 2], chain[:, 1::2]])
-        start = np.repeat(np.array(IV, "u4")[:, None], n // 2, 1)
-        flags = np.full(n // 2, _PARENT | (_ROOT if n == 2 else 0), "u4")
-        made = _compress(start, pairs, np.zeros(n // 2, "u8"), np.full(n // 2, 64, "u4"), flags)
-        chain = np.concatenate([made, chain[:, n - n % 2 :]], 1)
-    return chain[:, 0].astype("<u4").tobytes()
+    while len(owner) > len(messages):
+        count = np.bincount(owner, minlength=len(messages))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < count[owner]))
+        start = np.repeat(np.array(IV, "u4")[:, None], len(left), 1)
+        flags = np.where(count[owner[left]] == 2, _PARENT | _ROOT, _PARENT).astype("u4")
+        chain[:, left] = _compress(start, np.concatenate([chain[:, left], chain[:, left + 1]]), np.zeros(len(left), "u8"), np.full(len(left), 64, "u4"), flags)
+        stay = np.ones(len(owner), bool)
+        stay[left + 1] = False
+        chain, owner = chain[:, stay], owner[stay]
+    return [c.tobytes() for c in np.ascontiguousarray(chain.T).astype("<u4")]

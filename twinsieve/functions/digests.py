@@ -50,6 +50,27 @@ def _blake3(data: bytes) -> bytes:
     return blake3.blake3(data).digest()
 
 
+def _blake3_many(contents: list[bytes]) -> list[bytes]:
+    """All at once, some MB at a time, where the library is missing."""
+    try:
+        import blake3
+
+        return [blake3.blake3(b).digest() for b in contents]
+    except ImportError:
+        from twinsieve.functions.blake import blake3_many
+
+    out: list[bytes] = []
+    part: list[bytes] = []
+    size = 0
+    for b in contents:
+        part.append(b)
+        size += len(b)
+        if size > 1 << 20:
+            out += blake3_many(part)
+            part, size = [], 0
+    return out + blake3_many(part)
+
+
 def _metro(data: bytes) -> bytes:
     from twinsieve.functions.metro import metro128
 
@@ -107,10 +128,12 @@ def digest(content: Column, algorithm: Algorithm | str = Algorithm.SHA256) -> Co
 
 def digest_udf(algorithm: Algorithm) -> Callable[[Column], Column]:
     of = in_python(algorithm)
+    many = _blake3_many if algorithm == Algorithm.BLAKE3 else lambda contents: [of(b) for b in contents]
 
     @F.arrow_udf("string")
     def hexadecimal(content: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else of(b).hex() for b in content.to_pylist()], pa.string())
+        found = iter(many([b for b in content.to_pylist() if b is not None]))
+        return pa.array([next(found).hex() if there else None for there in content.is_valid().to_pylist()], pa.string())
 
     return hexadecimal
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.patterns import Pattern, any_of
 from ..options import OPERATIONS, DedupeOptions, OptionError
+from ..session import materialise
 from .grouping import KEYS, subgroup_key
 
 #: priority -> (aggregate of a replica's files, whether the least comes first); what comes first is kept
@@ -122,14 +123,17 @@ def kept(groups: DataFrame, keys: Sequence[str], opts: DedupeOptions) -> DataFra
 
 
 def candidates(members: DataFrame, metadata: DataFrame, opts: DedupeOptions, operation: str = "remove") -> tuple[DataFrame, list[str]]:
-    """Files that take part, with metadata, and the keys of their groups; links other than symbolic stay on one device."""
+    """Files that take part, with metadata, and the keys of their groups; links other than symbolic stay on one device.
+
+    They are stored: ranks, targets and plans all read them.
+    """
     keys = [*KEYS, "device"] if operation in ("hardlink", "reflink") else list(KEYS)
     files = enriched(members, metadata).filter("is_file")
     if not opts.no_check_size:
         files = files.filter("len = file_len")
     if opts.modified_before is not None:
         files = files.join(modified_groups(files, keys, opts.modified_before), keys, "left_anti")
-    return files, keys
+    return materialise(files, "candidates"), keys
 
 
 def partition(files: DataFrame, keys: Sequence[str], opts: DedupeOptions) -> DataFrame:

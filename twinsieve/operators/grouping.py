@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, paths
 from ..options import GroupOptions
+from ..session import materialise
 
 KEYS = ["file_len", "file_hash"]
 
@@ -107,7 +108,7 @@ def cascade(files: DataFrame, opts: GroupOptions, read: Callable[[DataFrame, str
     """
     if read is None:
         files = with_suffix(with_prefix(files, opts), opts)
-        files = (files if opts.skip_content_hash else with_content(files, opts)).drop("content")
+        files = materialise(unique_paths((files if opts.skip_content_hash else with_content(files, opts)).drop("content")), "digests")
     out = by_size(files, opts)
     for keys in STAGES[:2] if opts.skip_content_hash else STAGES:
         out = pruned(read(out, keys[-1]) if read else out, ["len", *keys], opts)
@@ -120,10 +121,11 @@ def cascade(files: DataFrame, opts: GroupOptions, read: Callable[[DataFrame, str
 def direct(files: DataFrame, opts: GroupOptions) -> DataFrame:
     """Members of reported groups by one digest: for columnar sources, where content comes with the scan.
 
-    Contents leave the plan at the scan; the shuffles carry digests.
+    Contents leave the plan at the scan; the shuffles carry digests. The digests of all files, some hundred bytes each,
+    are stored, since members, groups and all that follows from them read them anew, and contents are read once.
     """
     out = with_content(files, opts).withColumnRenamed("len", "file_len").drop("content")
-    return pruned(out, KEYS, opts, strict=True)
+    return pruned(materialise(unique_paths(out), "digests"), KEYS, opts, strict=True)
 
 
 def transformed(files: DataFrame, opts: GroupOptions) -> DataFrame:
@@ -133,7 +135,7 @@ def transformed(files: DataFrame, opts: GroupOptions) -> DataFrame:
     """
     out = files.withColumn("content", opts.transform(F.col("content"))).filter(F.col("content").isNotNull())
     out = out.withColumn("file_len", F.octet_length("content").cast("bigint")).withColumn("file_hash", digests.digest(F.col("content"), opts.hash_fn))
-    return pruned(out.drop("content", "len"), KEYS, opts, strict=True)
+    return pruned(materialise(unique_paths(out.drop("content", "len")), "digests"), KEYS, opts, strict=True)
 
 
 def summary(members: DataFrame, opts: GroupOptions) -> DataFrame:
@@ -194,7 +196,7 @@ def group(files: DataFrame, opts: GroupOptions | None = None) -> DataFrame:
     files: path, device, inode, len, content.
     """
     opts = opts or GroupOptions()
-    out = selected(unique_paths(files), opts)
+    out = selected(files, opts)
     if opts.transform is not None:
         return transformed(out, opts)
     return cascade(out, opts) if opts.skip_content_hash else direct(out, opts)

@@ -30,8 +30,9 @@ from .components import components
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-#: A pair of similarity 0.8 agrees in fewer than this share of coordinates once in some 300,000 times.
-SKETCH_SHARE = 0.66
+#: A pair of similarity 0.8 agrees in fewer than this share of coordinates once in some 10 million times, and shares no
+#: band once in 330,000 times (binomial distributions over 160 coordinates and 32 bands).
+SKETCH_SHARE = 0.62
 #: Members of a bucket, and bytes of the sets of a component, that are compared in one go; larger ones are cut into blocks.
 BUCKET_BLOCK, EXACT_BYTES = 2048, 4 << 20
 PART = 1 << 20

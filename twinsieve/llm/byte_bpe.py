@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import in_batches, kept, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts longer than this many characters are cut at safe boundaries.
@@ -71,7 +71,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<bigint>")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, ids array<bigint>")
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -84,7 +84,7 @@ def decode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
+    return df.select(id_col, ids_col).transform(in_batches, run, f"`{id_col}` {kind}, bytes binary")
 
 
 def digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +111,7 @@ def digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +35,25 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows that hold texts go to Python 2000 at a time, unless the session has a number of its own."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "2000")
+def in_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), sparing of memory, for use with DataFrame.transform.
+
+    Rows, which may hold long texts, go to Python 2000 at a time, unless the session has a number of its own; at its end
+    a task gives back what its worker holds without need.
+    """
+
+    def sparing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, "2000")
+    return df.mapInArrow(sparing, schema)
 
 
 class Bounded(dict):

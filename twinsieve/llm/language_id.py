@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, kept, small_batches, table
+from .common import held_out, in_batches, kept, table
 
 UNKNOWN = "und"
 BUCKETS, ORDERS, DIMENSIONS = 1 << 16, (1, 2, 3, 4), 16
@@ -139,7 +139,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 out.append(found[:: max(1, -(-len(found) // ngrams))].astype("i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["ids", "label"])
 
-    got = rows.select("text", "label").mapInArrow(run, "ids binary, label string").toArrow()
+    got = rows.select("text", "label").transform(in_batches, run, "ids binary, label string").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
     return fit([np.frombuffer(x, "i4") for _, x in pairs], [y for y, _ in pairs])
@@ -166,7 +166,6 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     A null text or one without a letter gets `und`, score 0 and is not accepted; without a model every text does.
     Rows are judged one by one, so repeated ones get the same result. Other columns are not read.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float for each language
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +180,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=[id_col, "lang_pred", "score", "accepted"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +191,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is recognised, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +200,4 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             keep = [name != UNKNOWN and score >= m.threshold for name, score in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)

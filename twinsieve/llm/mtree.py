@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import table
+from .common import in_batches, table
 from .vectors import ROUNDING, SLACK, Space, deal, parts, search, space, valid
 
 LEAF, FAN = 256, 16
@@ -161,7 +161,7 @@ def trees(pages: DataFrame, sp: Space) -> DataFrame:
         if now is not None:
             yield made()
 
-    return pages.repartition(parts(pages.sparkSession), "page").sortWithinPartitions("page", "no").select("page", "id", "x").mapInArrow(run, "page int, payload binary")
+    return pages.repartition(parts(pages.sparkSession), "page").sortWithinPartitions("page", "no").select("page", "id", "x").transform(in_batches, run, "page int, payload binary")
 
 
 def top_k(df: DataFrame, chosen: str, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import Bounded, kept, small_batches, table
+from .common import Bounded, in_batches, kept, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -161,7 +161,7 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "same", "bands", "sketch"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id bigint, same binary, bands array<bigint>, sketch binary")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).transform(in_batches, run, "id bigint, same binary, bands array<bigint>, sketch binary")
 
 
 def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int, near: Near) -> DataFrame:
@@ -187,7 +187,7 @@ def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int,
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok, pa.bool_())], names=[key, "id", "w", "c", "ok"])
 
     kind = rows.schema[key].dataType.simpleString()
-    star = large.join(centres, key).join(values, "id").select(key, "id", "w", "c", value, "_centre").mapInArrow(to_centre, f"{key} {kind}, id bigint, w bigint, c bigint, ok boolean")
+    star = large.join(centres, key).join(values, "id").select(key, "id", "w", "c", value, "_centre").transform(in_batches, to_centre, f"{key} {kind}, id bigint, w bigint, c bigint, ok boolean")
     star = materialise(star, "star")
 
     def blocks(of: DataFrame, name: str) -> DataFrame:
@@ -237,7 +237,7 @@ def _by_group(df: DataFrame, key: str, value: str, near: Near) -> DataFrame:
         flush(held)
         yield made()
 
-    return df.select(key, "pair", "id", "left", "right", "tied", value).repartition(key, "pair").sortWithinPartitions(key, "pair", "id").mapInArrow(run, "a bigint, b bigint")
+    return df.select(key, "pair", "id", "left", "right", "tied", value).repartition(key, "pair").sortWithinPartitions(key, "pair", "id").transform(in_batches, run, "a bigint, b bigint")
 
 
 def spanning(values: list[bytes], left: np.ndarray, right: np.ndarray, tied: np.ndarray, near: Near) -> Iterator[tuple[int, int]]:
@@ -284,7 +284,6 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     component of links. A null or empty text, or one without words, is a class of its own, as is a null id. Rows with
     the same id are one document. Other columns are neither read nor returned.
     """
-    small_batches(df.sparkSession)
     signed = materialise(sign(df, id_col, text_col), "signed")
     same = signed.filter("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
     one = signed.filter("same IS NOT NULL AND id IS NOT NULL").select("same", "id", "bands", "sketch")
@@ -301,7 +300,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "id", "set"])
 
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("_text"))
-    sets = near.join(texts, "id").dropDuplicates(["id"]).select("root", "id", "_text").mapInArrow(to_sets, "root bigint, id bigint, set binary")
+    sets = near.join(texts, "id").dropDuplicates(["id"]).select("root", "id", "_text").transform(in_batches, to_sets, "root bigint, id bigint, set binary")
     sets = materialise(sets, "sets")
     members_of = sets.select("root", "id", F.octet_length("set").cast("bigint").alias("w"))
     links = _linked(members_of, sets.select("id", "set"), "root", "set", EXACT_BYTES, near_sets)

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import kept, small_batches, table
+from .common import in_batches, kept, table
 from .word_bpe import VOCABULARY, WordEncoder
 
 WINDOW, END = 2048, 1
@@ -130,9 +130,8 @@ def cut(df: DataFrame, vocabulary: str, end_id: int = END, window: int = WINDOW,
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, rank bigint")
 
 
 def place(pieces: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -156,7 +155,7 @@ def place(pieces: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> Da
     kind = pieces.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     ranked = pieces.join(firsts, ["part", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(run, schema)
+    return ranked.transform(in_batches, run, schema)
 
 
 def pack(df: DataFrame, vocabulary: str, end_id: int = END, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

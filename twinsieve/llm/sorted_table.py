@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path
-from .common import kept, small_batches, table
+from .common import in_batches, kept, table
 from .word_bpe import VOCABULARY, WordEncoder
 
 MAGIC = b"TWSSTAB1"
@@ -221,9 +221,8 @@ def encode(df: DataFrame, vocabulary: str, end_id: int, width: int = 2, id_col:
             out = [x.astype(f"<u{width}").tobytes() for x in encoder.encode(batch.column(1).to_pylist(), end_id)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "ids"])
 
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, ids binary")
 
 
 def write(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
@@ -277,7 +276,7 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str =
         .repartitionById(shards, F.col("_shard"))
         .sortWithinPartitions(id_col, "ids")
         .select(id_col, "ids")
-        .mapInArrow(run, schema)
+        .transform(in_batches, run, schema)
         .write.parquet(f"{path}/manifest")
     )
     return spark.read.schema(schema).parquet(f"{path}/manifest")
@@ -322,7 +321,7 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield _rows(rows, arrow_kind, id_col)
 
     schema = f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return spark.createDataFrame(starts, "path string, start bigint").repartition(max(1, len(starts))).mapInArrow(run, schema)
+    return spark.createDataFrame(starts, "path string, start bigint").repartition(max(1, len(starts))).transform(in_batches, run, schema)
 
 
 def _rows(rows: list[tuple], kind: pa.DataType, id_col: str) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import small_batches, table
+from .common import in_batches, table
 
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1
@@ -133,7 +133,7 @@ def _fragment_rows(docs: DataFrame, splitters: list[np.ndarray] | None, thinned:
                 part = _part_of(splitters, m, h, doc, pc) if splitters else np.zeros(len(m), "i4")
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), pa.array(m), pa.array(h), pa.array(doc), pa.array(pc)], names=["part", "m", "h", "doc", "pc"])
 
-    return docs.select("doc", "bytes").mapInArrow(run, "part int, m bigint, h bigint, doc bigint, pc bigint")
+    return docs.select("doc", "bytes").transform(in_batches, run, "part int, m bigint, h bigint, doc bigint, pc bigint")
 
 
 def _part_of(splitters: list[np.ndarray], *keys: np.ndarray) -> np.ndarray:
@@ -227,7 +227,7 @@ def _compared(rows: DataFrame, parts: int) -> DataFrame:
         yield from made(runs.end())
 
     dealt = rows.repartitionById(parts, F.col("part")).select("m", "h", "doc", "pc").sortWithinPartitions("m", "h", "doc", "pc")
-    return dealt.mapInArrow(run, "kind int, part int, m bigint, h bigint, doc bigint, pc bigint")
+    return dealt.transform(in_batches, run, "kind int, part int, m bigint, h bigint, doc bigint, pc bigint")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["doc", "packed"])
 
-    return docs.select("doc", "bytes").mapInArrow(run, "doc bigint, packed binary")
+    return docs.select("doc", "bytes").transform(in_batches, run, "doc bigint, packed binary")
 
 
 def _with_bytes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def _with_bytes(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array([doc] * len(m), pa.int64()), pa.array(pc, pa.int64()), pa.array(got, pa.binary())], names=["m", "doc", "pc", "bytes"])
 
     by_doc = chosen.groupBy("doc").agg(F.collect_list(F.struct("m", "pc")).alias("rows"))
-    return _packed(docs).join(by_doc, "doc").select("doc", "packed", "rows").mapInArrow(run, "m bigint, doc bigint, pc bigint, bytes binary")
+    return _packed(docs).join(by_doc, "doc").select("doc", "packed", "rows").transform(in_batches, run, "m bigint, doc bigint, pc bigint, bytes binary")
 
 
 def multikey_ties(data: bytes, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -356,7 +356,7 @@ def _suffixes_compared(rows: DataFrame) -> DataFrame:
         yield from settle(held, divided)
 
     dealt = rows.repartitionByRange(_parts(rows.sparkSession), "m", "doc", "pc").sortWithinPartitions("m", "doc", "pc")
-    return dealt.mapInArrow(run, "doc bigint, start bigint, end bigint, bucket int, packed binary")
+    return dealt.transform(in_batches, run, "doc bigint, start bigint, end bigint, bucket int, packed binary")
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -389,7 +389,7 @@ def _across(packed: DataFrame) -> DataFrame:
         yield from settle(held)
 
     dealt = packed.repartition(_parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "doc bigint, start bigint, end bigint")
+    return dealt.transform(in_batches, run, "doc bigint, start bigint, end bigint")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -416,7 +416,6 @@ def removed(docs: DataFrame) -> DataFrame:
     Spans may overlap; their union is what is covered by a 100-byte string that also starts earlier.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     parts = _parts(spark)
     splitters = _splitters(docs, parts)
     found = materialise(_compared(_fragment_rows(docs, splitters), len(splitters[0]) + 1 if splitters else 1), "fragments")
@@ -479,7 +478,7 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     docs, names = _numbered(df, id_col, text_col)
     found = _packed(docs).join(removed(docs), "doc", "left").select("doc", "packed", "spans")
-    found = found.mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    found = found.transform(in_batches, run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     kind = df.schema[id_col].dataType
     if names is None:
         return found.withColumnRenamed("doc", id_col).withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
@@ -521,6 +520,5 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         spans = shared.join(spans, F.col("doc") == F.col("_doc")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
         tag = F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256)
         met = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left")
-    out = met.select(*names, "_spans").mapInArrow(run, docs.schema)
+    out = met.select(*names, "_spans").transform(in_batches, run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
-

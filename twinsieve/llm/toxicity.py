@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, small_batches, table
+from .common import Bounded, held_out, in_batches, table
 
 THRESHOLD = 0.7
 FACTORS = 6
@@ -154,7 +154,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out = [np.unique(np.fromiter(map(term_hash, words(t)), "i4")).astype("i4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["terms", "label"])
 
-    got = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_text", "_label").mapInArrow(run, "terms binary, label int").toArrow()
+    got = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_text", "_label").transform(in_batches, run, "terms binary, label int").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     return fit([np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8"))
@@ -182,7 +182,6 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
 
     A null text counts as an empty one, which gets the score of no term; repeated rows get the same score.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms of 1 + FACTORS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +191,11 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype("i4"))], names=[id_col, "score", "predicted"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return df.select(id_col, F.col(text_col).cast("string")).transform(in_batches, run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs scored under the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +203,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
         for batch in batches:
             yield batch.filter(pa.array([judge(t) < threshold for t in batch.column(batch.schema.names.index(text_col)).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

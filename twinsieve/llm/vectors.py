@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import in_batches
 
 #: Vectors in a page, about; pivots at most; vectors whose scores give each query a first bound.
 PAGE, PIVOTS, SEEDS = 8192, 2048, 2048
@@ -109,7 +110,7 @@ def deal(rows: DataFrame, sp: Space, page: int | None = None) -> Pages:
             stored = [r.tobytes() for r in x.astype(sp.stored)]
             yield pa.RecordBatch.from_arrays([pa.array(best.astype("i4")), batch.column(0), pa.array(distance), pa.array(stored, pa.binary())], names=["pivot", "id", "distance", "x"])
 
-    dealt = materialise(rows.mapInArrow(run, "pivot int, id bigint, distance double, x binary").withColumn("no", F.monotonically_increasing_id()), "vectors")
+    dealt = materialise(rows.transform(in_batches, run, "pivot int, id bigint, distance double, x binary").withColumn("no", F.monotonically_increasing_id()), "vectors")
     counts = {r.pivot: r["count"] for r in dealt.groupBy("pivot").count().collect()}
     parts = [max(1, math.ceil(counts.get(k, 0) / page)) for k in range(len(pivots))]
     first = [0, *np.cumsum(parts)[:-1].tolist()]
@@ -177,10 +178,10 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(no[at]), pa.array(found), pa.array(scores.astype("i8" if score == "bigint" else "f8"))], names=["query_id", "no", "vec_id", "score"])
 
     numbered = distinct.select("id", F.xxhash64("id", "v").alias("no"), "v")
-    blocks = numbered.select("id", F.pmod("no", F.lit(1 << 62)).alias("no"), "v").mapInArrow(route, "page int, salt int, kind int, payload binary")
+    blocks = numbered.select("id", F.pmod("no", F.lit(1 << 62)).alias("no"), "v").transform(in_batches, route, "page int, salt int, kind int, payload binary")
     stored = payloads.select("page", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.lit(0).alias("kind"), "payload")
     met = stored.union(blocks).repartition(parts(rows.sparkSession), "page", "salt").sortWithinPartitions("page", "salt", "kind").select("kind", "payload")
-    found = met.mapInArrow(work, f"query_id bigint, no bigint, vec_id bigint, score {score}")
+    found = met.transform(in_batches, work, f"query_id bigint, no bigint, vec_id bigint, score {score}")
     order = W.partitionBy("query_id", "no").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

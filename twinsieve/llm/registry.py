@@ -26,5 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": suffix_dedup.SQL,
+        "op3_mtree_top_k": mtree.SQL,
+        "op8_near_dedup": near_dedup.SQL,
         "op10_licenses": licenses.oracle(),
     }

@@ -522,3 +522,20 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         met = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left")
     out = met.select(*names, "_spans").transform(in_batches, run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+
+#: The same by one window over all 100-byte strings; kept bytes are joined as hexadecimal text.
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, b[p + 1:p + {LENGTH}] AS s FROM d, unnest(range(0, octet_length(b) - {LENGTH - 1})) AS t(p)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+m AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH}, true) AS new FROM r),
+g AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m),
+x AS (SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS e FROM g GROUP BY ALL),
+k AS (SELECT d.doc_id, coalesce(run, 0) AS run, coalesce(a, octet_length(b)) AS a, coalesce(lag(e) OVER o, 0) AS before, e, hex(b) AS h, octet_length(b) AS n,
+  lead(run) OVER o IS NULL AS last FROM d LEFT JOIN x USING (doc_id) WINDOW o AS (PARTITION BY d.doc_id ORDER BY run))
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_bytes, CAST(coalesce(sum(e - a), 0) AS BIGINT) AS n_removed, count(e) AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last AND e IS NOT NULL THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY run))) AS kept_sha256
+FROM k GROUP BY doc_id
+"""

@@ -83,18 +83,21 @@ def sampled(rows: DataFrame, most: int, seed: str) -> tuple[np.ndarray, list]:
 
 @dataclass
 class Pages:
-    """rows: page, no, id, x (stored components); pivot and radius of each page, which has no row if it is empty."""
+    """rows: page, no, id, x (stored components); of each pivot, PIVOTS at most, its vector, radius (-1 if it has no row), first page and number of pages."""
 
     space: Space
     rows: DataFrame
     pivots: np.ndarray
     radii: np.ndarray
+    first: list[int]
+    parts: list[int]
 
 
 def deal(rows: DataFrame, sp: Space, page: int | None = None) -> Pages:
     """Deal vectors to the nearest of n / page pivots (at most PIVOTS), and those of each pivot evenly to pages.
 
-    Hot pivots, as of many copies of one vector, have many pages. Radii are one number for each page.
+    Hot pivots, as of many copies of one vector, have many pages, and so have all pivots of a very large table: what the
+    tasks know of pages is bounded by PIVOTS.
     """
     page = page or PAGE
     _, picked = sampled(rows, max(1, min(PIVOTS, math.ceil(sp.n / page))), "pivots")
@@ -111,15 +114,12 @@ def deal(rows: DataFrame, sp: Space, page: int | None = None) -> Pages:
             yield pa.RecordBatch.from_arrays([pa.array(best.astype("i4")), batch.column(0), pa.array(distance), pa.array(stored, pa.binary())], names=["pivot", "id", "distance", "x"])
 
     dealt = materialise(rows.transform(in_batches, run, "pivot int, id bigint, distance double, x binary").withColumn("no", F.monotonically_increasing_id()), "vectors")
-    counts = {r.pivot: r["count"] for r in dealt.groupBy("pivot").count().collect()}
-    parts = [max(1, math.ceil(counts.get(k, 0) / page)) for k in range(len(pivots))]
+    told = {r.pivot: (r.n, r.r) for r in dealt.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect()}
+    parts = [max(1, math.ceil(told.get(k, (0, 0))[0] / page)) for k in range(len(pivots))]
     first = [0, *np.cumsum(parts)[:-1].tolist()]
     number = F.element_at(F.lit(first), F.col("pivot") + 1) + F.pmod(F.xxhash64("no"), F.element_at(F.lit(parts), F.col("pivot") + 1)).cast("int")
-    paged = dealt.select(number.cast("int").alias("page"), "no", "id", "distance", "x")
-    radii = np.full(sum(parts), -1.0)
-    for r in paged.groupBy("page").agg(F.max("distance").alias("r")).collect():
-        radii[r.page] = r.r
-    return Pages(sp, paged.drop("distance"), np.repeat(pivots, parts, 0), radii)
+    radii = np.array([told.get(k, (0, -1.0))[1] for k in range(len(pivots))])
+    return Pages(sp, dealt.select(number.cast("int").alias("page"), "no", "id", "x"), pivots, radii, first, parts)
 
 
 def search(
@@ -141,7 +141,7 @@ def search(
     seeds = sp.matrix(seeds).astype(sp.counted) if len(seed_ids) else np.zeros((0, sp.width), sp.counted)
     distinct = queries.dropDuplicates(["id", "v"])
     copies = max(1, math.ceil(distinct.count() / PER_COPY))
-    centre, radii = pages.pivots, pages.radii
+    centre, radii, first, many = pages.pivots, pages.radii, pages.first, pages.parts
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,20 +159,22 @@ def search(
                 low = np.maximum(0.0, np.sqrt(np.maximum(0.0, square - 2 * q @ centre.T)) - radii[None, :] - ROUNDING * np.sqrt(square))
                 open_ = (low**2 <= square * (1 + SLACK) - 2 * least[:, None]) & (radii >= 0)[None, :]
                 to, blobs = [], []
-                for page in np.flatnonzero(open_.any(0)):
-                    on = open_[:, page]
-                    to.append(int(page))
-                    blobs.append(pickle.dumps((ids[on], no[on], q[on].astype(sp.stored), least[on])))
+                for pivot in np.flatnonzero(open_.any(0)).tolist():
+                    on = open_[:, pivot]
+                    to += range(first[pivot], first[pivot] + many[pivot])
+                    blobs += [pickle.dumps((ids[on], no[on], q[on].astype(sp.stored), least[on]))] * many[pivot]
                 salt = [int(no[0]) % copies] * len(to)
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(salt, pa.int32()), pa.array([1] * len(to), pa.int32()), pa.array(blobs, pa.binary())], names=["page", "salt", "kind", "payload"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = None
+        searcher = now = None
         for batch in batches:
-            for kind, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for page, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
-                    searcher = load(payload)
+                    searcher, now = load(payload), page
                     continue
+                if page != now:
+                    continue  # no vector was dealt to this page
                 ids, no, q, least = pickle.loads(payload)
                 at, found, scores = searcher(ids, q, least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(no[at]), pa.array(found), pa.array(scores.astype("i8" if score == "bigint" else "f8"))], names=["query_id", "no", "vec_id", "score"])
@@ -180,7 +182,7 @@ def search(
     numbered = distinct.select("id", F.xxhash64("id", "v").alias("no"), "v")
     blocks = numbered.select("id", F.pmod("no", F.lit(1 << 62)).alias("no"), "v").transform(in_batches, route, "page int, salt int, kind int, payload binary")
     stored = payloads.select("page", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("salt"), F.lit(0).alias("kind"), "payload")
-    met = stored.union(blocks).repartition(parts(rows.sparkSession), "page", "salt").sortWithinPartitions("page", "salt", "kind").select("kind", "payload")
+    met = stored.union(blocks).repartition(parts(rows.sparkSession), "page", "salt").sortWithinPartitions("page", "salt", "kind").select("page", "kind", "payload")
     found = met.transform(in_batches, work, f"query_id bigint, no bigint, vec_id bigint, score {score}")
     order = W.partitionBy("query_id", "no").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -37,6 +37,12 @@ def test_latin_words_encode_as_the_whole(text):
     assert [x.tolist() for x in ENCODER.encode([text], 2)] == [plain(text, 2)]
 
 
+def test_parts_of_long_latin_texts_encode_as_the_whole(monkeypatch):
+    text = "Thé cat's 12th hat, \t\n and MORE!! " * 40 + "x" * 300
+    monkeypatch.setattr(B, "parts", lambda t, f=B.parts: f(t, 50))
+    assert [x.tolist() for x in ENCODER.encode([text], 2)] == [plain(text, 2)]
+
+
 def test_shards_hold_and_find_all(spark):
     rows = [((i * 7919) % 400, TEXTS[i % len(TEXTS)] if i % 50 == 0 else f"word{i} and more", "clash") for i in range(400)] + [(None, "no id", "x"), (5, "again", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")

@@ -82,7 +82,7 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 def _probes(hashed: int, bits: int) -> list[int]:
     step = (hashed >> 32) | 1
-    return [(hashed + i * step) % bits for i in range(PROBES)]
+    return [((hashed + i * step) & 0xFFFFFFFFFFFFFFFF) % bits for i in range(PROBES)]
 
 
 class Writer:
@@ -133,8 +133,9 @@ class Writer:
         index = b"".join(_varint(len(k)) + k + struct.pack("<QII", *rest) for k, *rest in self.index)
         bits = max(64, BITS * len(self.hashes) + 7 & ~7)
         bloom = np.zeros(bits, "u1")
-        for h in self.hashes:
-            bloom[_probes(h, bits)] = 1
+        hashes = np.array(self.hashes, "u8")
+        for i in range(PROBES):  # _probes() of all keys
+            bloom[(hashes + np.uint64(i) * ((hashes >> np.uint64(32)) | np.uint64(1))) % np.uint64(bits)] = 1
         packed = np.packbits(bloom).tobytes()
         self.out.write(index + packed + struct.pack(_FOOTER, self.at, len(index), self.at + len(index), len(packed), self.docs, self.ids, self.width, MAGIC))
         self.out.close()

@@ -1,9 +1,12 @@
 """Operator 9: toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed lower-case words. Its score is a sigmoid of an offset, a weight for each term and,
-for each pair of terms, the inner product of their factors, so that two terms which are harmless alone can count
-together. Weights and factors are trained in numpy on a bounded sample of labelled rows by adaptive gradient steps,
-with a proximal step that sets those of uninformative terms to nought; a logistic fit on a part kept aside calibrates.
+A text is the set of its lower-case words, hashed into buckets. Its score is a sigmoid of an offset, a weight for each
+term and, for each pair of terms, the inner product of their factors, so that two terms which are harmless alone can
+count together. All terms of the sample are trained, rare ones too: weights by adaptive gradient steps under a lasso,
+then factors with them under a group lasso, so that uninformative terms come to nought by themselves. Factors start from
+the leading eigenvectors of the terms' co-occurrence in what the weights alone leave unexplained: near nought the loss
+is flat in them, and gradient steps would not find a pair that tells nothing by its single terms. Rows kept aside
+decide how strong the group lasso is and when to stop, and calibrate by a logistic fit.
 """
 
 from __future__ import annotations
@@ -22,16 +25,17 @@ from .common import Bounded, held_out, in_batches, table
 
 THRESHOLD = 0.7
 FACTORS = 6
-#: Terms are hashed to 31 bits; the model holds at most so many of them, those in most rows of the sample.
-TERMS = 1 << 18
-#: A term takes part if the share of toxic rows among its rows is beyond chance, or if it is in this share of rows, so
-#: that a pair of harmless terms can be found.
-FREQUENT = 0.1
-
+#: Buckets that terms are hashed into: the bound of a model's size.
+BUCKETS = 1 << 18
+#: The lasso is adaptive: a term whose rows' share of toxic ones is further off chance than so many standard deviations is
+#: held down less.
+CLEAR = 3.0
+#: Strengths of the group lasso, in standard deviations of a gradient under chance; the next is tried if pairs help.
+PAIRS = (1.0, 0.5)
 
 @dataclass
 class Model:
-    """terms: sorted hashes; their weights and factors; offset; scale and shift of the calibration."""
+    """terms: sorted buckets that have a weight or factors; their weights and factors; offset; scale and shift of the calibration."""
 
     terms: np.ndarray
     weights: np.ndarray
@@ -42,7 +46,7 @@ class Model:
 
 
 def term_hash(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 def words(text: str | None) -> set[str]:
@@ -60,64 +64,165 @@ def probability(model: Model, places: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.2, lasso: float = 6.0, seed: int = 11) -> Model:
-    """A model of (distinct term hashes, 0 or 1) rows. Without rows of both labels it scores every text alike."""
+def _by_row(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of x[ends[k] : ends[k + 1]], noughts for an empty stretch."""
+    out = np.zeros((len(ends) - 1, *x.shape[1:]), x.dtype)
+    some = np.flatnonzero(ends[1:] > ends[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(x, ends[some], 0)
+    return out
+
+
+class _Rows:
+    """Rows of terms, one after another, for sums over rows and over terms."""
+
+    def __init__(self, places: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+        sizes = ends[rows + 1] - ends[rows]
+        self.n, self.ends = len(rows), np.concatenate([[0], np.cumsum(sizes)])
+        self.doc = np.repeat(np.arange(self.n), sizes)
+        self.at = places[np.arange(len(self.doc)) + np.repeat(ends[rows] - self.ends[:-1], sizes)]
+
+    def over_terms(self, x: np.ndarray) -> np.ndarray:
+        """For each row the sum of x, which has a row for each term."""
+        return _by_row(x, self.ends)
+
+
+def _by_place(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(at, x[:, f], n) for f in range(x.shape[1])], 1)
+
+
+@dataclass
+class _State:
+    """What is trained, and the squared gradients so far."""
+
+    offset: float
+    weights: np.ndarray
+    factors: np.ndarray
+    seen_w: np.ndarray
+    seen_v: np.ndarray
+    paired: bool = False
+
+    def copy(self) -> _State:
+        return _State(self.offset, self.weights.copy(), self.factors.copy(), self.seen_w.copy(), self.seen_v.copy(), self.paired)
+
+    def logits(self, r: _Rows) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Logits of rows, the factors of their terms, and those summed up by row; no factors count until paired."""
+        if not self.paired:
+            return self.offset + r.over_terms(self.weights[r.at]), None, None
+        v = self.factors[r.at]
+        sums = r.over_terms(v)
+        return self.offset + r.over_terms(self.weights[r.at]) + 0.5 * ((sums**2).sum(1) - r.over_terms((v**2).sum(1))), v, sums
+
+    def loss(self, r: _Rows, y: np.ndarray) -> float:
+        z = self.logits(r)[0]
+        return float((np.logaddexp(0, z) - y * z).mean())
+
+    def step(self, r: _Rows, y: np.ndarray, rate: float, lasso: np.ndarray, group: np.ndarray | None) -> None:
+        """One adaptive gradient step with its proximal step; without `group` factors stay."""
+        z, v, sums = self.logits(r)
+        g = (_sigmoid(z) - y) / r.n
+        self.offset -= 0.5 * rate * float(g.sum())
+        here = np.zeros(len(self.weights), bool)
+        here[r.at] = True
+        used, at = np.flatnonzero(here), (np.cumsum(here) - 1)[r.at]
+        grad = np.bincount(at, g[r.doc], len(used))
+        self.seen_w[used] += grad**2
+        step = rate / np.sqrt(self.seen_w[used])
+        w = self.weights[used] - step * grad
+        self.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - step * lasso[used])
+        if group is not None:
+            grad = _by_place(at, g[r.doc, None] * (sums[r.doc] - v), len(used))
+            self.seen_v[used] += grad**2
+            step = 0.3 * rate / np.sqrt(self.seen_v[used] + 1e-6)
+            x = self.factors[used] - step * grad
+            norm = np.sqrt((x**2).sum(1, keepdims=True)) + 1e-12
+            self.factors[used] = x * np.maximum(0, 1 - step.mean(1, keepdims=True) * group[used, None] / norm)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def _leading(r: _Rows, rest: np.ndarray, often: np.ndarray, rng: np.random.Generator, turns: int = 10) -> np.ndarray:
+    """A start for the factors of all terms: leading eigenvectors of their co-occurrence weighted by `rest`.
+
+    Found by subspace iteration, without the matrix: its products are sums over rows and terms. often: each term's share
+    of rows, by which the matrix is scaled so that neither frequent nor single terms rule it.
+    """
+    terms = len(often)
+    by = np.argsort(r.at, kind="stable")
+    doc, ends = r.doc[by], np.searchsorted(r.at[by], np.arange(terms + 1))
+    scale = (1 / np.sqrt(often + 0.05)).astype("f4")
+    diagonal = np.bincount(r.at, rest[r.doc], terms) / r.n * scale**2
+    base = np.linalg.qr(rng.normal(size=(terms, min(terms, FACTORS + 2))))[0]
+    for _ in range(turns):
+        sums = r.over_terms((base.astype("f4") * scale[:, None])[r.at]) * rest.astype("f4")[:, None]
+        image = _by_row(sums[doc], ends) / r.n * scale[:, None] - diagonal[:, None] * base
+        small, held = base.T @ image, base
+        base = np.linalg.qr(image)[0]
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    top = np.argsort(-values)[:FACTORS]
+    vectors = held @ turn[:, top]
+    vectors = np.sign(vectors) * np.maximum(0, np.abs(vectors) - 1.5 / np.sqrt(terms))
+    out = np.zeros((terms, FACTORS))
+    out[:, : len(top)] = vectors * scale[:, None] * np.sqrt(np.maximum(0, values[top] - np.abs(values[top]).min()))
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, lasso: float = 6.0, patience: int = 6, seed: int = 11) -> Model:
+    """A model of (distinct term buckets, 0 or 1) rows. Without rows of both labels it scores every text alike."""
     share = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     none = Model(np.zeros(0, "i8"), np.zeros(0, "f4"), np.zeros((0, FACTORS), "f4"), base, 1.0, 0.0)
-    if len(set(labels.tolist())) < 2:
+    if len(set(labels.tolist())) < 2 or not sum(map(len, rows)):
         return none
-    found, counts = np.unique(np.concatenate(rows), return_counts=True)
-    in_toxic, times = np.unique(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), return_counts=True)
-    toxic = np.zeros(len(found), "i8")
-    toxic[np.searchsorted(found, in_toxic)] = times
-    spread = np.sqrt(counts / len(rows) * (1 - counts / len(rows)))
-    noise = np.sqrt(share * (1 - share) / len(rows))
-    z = (toxic - share * counts) / len(rows) / np.maximum(spread * noise, 1e-12)
-    often = counts >= max(8, FREQUENT * len(rows))
-    chosen = np.flatnonzero(((np.abs(z) >= 3.5) & (counts > 1)) | often)
-    chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:TERMS]])
-    terms, penalty = found[chosen], lasso * noise * np.maximum(spread[chosen], 1e-6)
-    if not len(terms):
-        return none
-    places = []
-    for row in rows:
-        at = np.minimum(np.searchsorted(terms, row), len(terms) - 1)
-        places.append(at[terms[at] == row])
-    rng = np.random.default_rng(seed)
+    terms, places = np.unique(np.concatenate(rows), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    y, rng = labels.astype("f8"), np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     cut = max(1, len(rows) * 4 // 5)
     fitted, held = order[:cut], order[cut:]
     if len(set(labels[held].tolist())) < 2:
         fitted = held = order
-    m = Model(terms, np.zeros(len(terms), "f8"), rng.normal(0, 0.01, (len(terms), FACTORS)), base, 1.0, 0.0)
-    square_w, square_v = np.full(len(terms), 1e-8), np.full((len(terms), FACTORS), 1e-8)
-    for _ in range(epochs):
+    whole, aside = _Rows(places, ends, fitted), _Rows(places, ends, held)
+    often = np.bincount(whole.at, minlength=len(terms)) / len(fitted)
+    # what a term's gradient is by chance, in the batches that have the term: only there a penalty counts
+    chance = np.sqrt(share * (1 - share) / len(fitted)) * np.maximum(np.sqrt(often * (1 - often)), 1e-6)
+    tells = np.abs(np.bincount(whole.at, (y[fitted] - share)[whole.doc], len(terms))) / len(fitted) / chance
+    adapted = lasso * np.minimum(1, (CLEAR / np.maximum(tells, 1e-9)) ** 2)
+    chance /= 1 - (1 - np.clip(often, 1 / len(fitted), 1 - 1e-9)) ** batch
+
+    def epoch(state: _State, turn: int, group: np.ndarray | None) -> None:
+        """Every fourth takes all terms; between them, those at nought, which change nothing, are left out."""
+        at, upto = places, ends
+        if turn % 4:
+            live = ((state.weights != 0) | (state.factors != 0).any(1))[places]
+            at, upto = places[live], np.concatenate([[0], np.cumsum(live)])[ends]
         for chunk in np.array_split(rng.permutation(fitted), -(-len(fitted) // batch)):
-            ids = np.concatenate([places[k] for k in chunk])
-            doc = np.repeat(np.arange(len(chunk)), [len(places[k]) for k in chunk])
-            seen = np.zeros(len(terms), bool)
-            seen[ids] = True
-            used, at = np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
-            v = m.factors[ids]
-            sums = np.stack([np.bincount(doc, v[:, f], len(chunk)) for f in range(FACTORS)], 1)
-            z = m.offset + np.bincount(doc, m.weights[ids], len(chunk)) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (v**2).sum(1), len(chunk)))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[chunk]) / len(chunk)
-            m.offset -= 0.5 * rate * float(g.sum())
-            grad = np.bincount(at, g[doc], len(used))
-            square_w[used] += grad**2
-            step = rate / np.sqrt(square_w[used])
-            w = m.weights[used] - step * grad
-            m.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - step * penalty[used])
-            pair = g[doc, None] * (sums[doc] - v)
-            grad = np.stack([np.bincount(at, pair[:, f], len(used)) for f in range(FACTORS)], 1)
-            square_v[used] += grad**2
-            step = 0.3 * rate / np.sqrt(square_v[used] + 1e-6)
-            x = m.factors[used] - step * grad
-            norm = np.sqrt((x**2).sum(1, keepdims=True)) + 1e-12
-            m.factors[used] = x * np.maximum(0, 1 - step.mean(1, keepdims=True) * 0.05 * penalty[used, None] / norm)
-    out = np.array([logits(m, places[k]) for k in held])
-    m.scale, m.shift = _logistic(out, labels[held])
+            state.step(_Rows(at, upto, chunk), y[chunk], rate, adapted * chance, group)
+
+    linear = _State(base, np.zeros(len(terms)), np.zeros((len(terms), FACTORS)), share * (1 - share) * often / batch + 1e-8, np.zeros((len(terms), FACTORS)))
+    for turn in range(epochs):
+        epoch(linear, turn, None)
+    best, least = linear, linear.loss(aside, y[held])
+    start = _leading(whole, y[fitted] - _sigmoid(linear.logits(whole)[0]), often, rng)
+    for strength in PAIRS:
+        before, state = least, linear.copy()
+        state.paired, state.factors = True, start.copy()
+        state.seen_v = np.repeat((share * (1 - share) * np.maximum(often, 1 / len(fitted)) / batch)[:, None], FACTORS, 1)
+        mine, idle = np.inf, 0
+        for turn in range(1, 3 * epochs):
+            epoch(state, turn, strength * chance)
+            loss = state.loss(aside, y[held])
+            mine, idle = (loss, 0) if loss < mine - 1e-4 else (mine, idle + 1)
+            if loss < least:
+                best, least = state.copy(), loss
+            if idle >= patience:
+                break
+        if least > before - 1e-3:
+            break
+    m = Model(terms, best.weights, best.factors, best.offset, 1.0, 0.0)
+    m.scale, m.shift = _logistic(best.logits(aside)[0], y[held])
     live = (m.weights != 0) | (m.factors != 0).any(1)
     return Model(terms[live], m.weights[live].astype("f4"), m.factors[live].astype("f4"), m.offset, m.scale, m.shift)
 
@@ -182,7 +287,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
 
     A null text counts as an empty one, which gets the score of no term; repeated rows get the same score.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms of 1 + FACTORS numbers
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS terms of 1 + FACTORS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Scorer(shared.value)

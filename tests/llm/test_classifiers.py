@@ -1,4 +1,10 @@
+import math
+import os
+import re
+import zlib
+
 import numpy as np
+import pytest
 
 from twinsieve.llm import language_id as L
 from twinsieve.llm import toxicity as T
@@ -52,6 +58,23 @@ def test_pairs_count_where_terms_alone_do_not():
     assert 0 < judge(None) == judge("") < 1
 
 
+def test_a_rare_pair_of_words_that_tell_nothing_alone():
+    """Two words in 7 of 100 rows each: always toxic together, never alone, all other rows at random."""
+
+    def rows(seed, n):
+        rng, out = np.random.default_rng(seed), []
+        for u in rng.random(n):
+            pair = {1, 2} if u < 0.02 else {1} if u < 0.07 else {2} if u < 0.12 else set()
+            words = {f"w{k}" for k in rng.integers(0, 400, 25)} | {f"p{k}" for k in pair}
+            out.append((np.array(sorted(set(map(T.term_hash, words)))), len(pair), int(len(pair) == 2 or not pair and rng.random() < 0.27)))
+        return out
+
+    fitted = rows(1, 12_000)
+    m = T.fit([r for r, _, _ in fitted], np.array([y for _, _, y in fitted]))
+    scores = [(k, T.probability(m, np.flatnonzero(np.isin(m.terms, r)))) for r, k, _ in rows(2, 3000)]
+    assert np.mean([s for k, s in scores if k == 2]) > 0.8 and np.mean([s for k, s in scores if k == 1]) < 0.2
+
+
 def test_toxicity_of_odd_rows(spark):
     rng = np.random.default_rng(5)
     plain = [" ".join(rng.choice(WORDS["en"].split(), 15)) for _ in range(300)]
@@ -65,3 +88,68 @@ def test_toxicity_of_odd_rows(spark):
     assert all(by[i] == int(i % 5 == 0) for i in range(1, 300)) and by[902] == 1 and by[900] == by[901] == 0
     assert T.accepted(df, model).filter("doc_id = 902").count() == 0 and T.accepted(df, model).columns == df.columns
     assert T.score(df.limit(0), T.train(df.limit(0), labels)).count() == 0
+
+
+SF = os.environ.get("TWINSIEVE_TEST_SF", "/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+
+def learnt(i):
+    return zlib.crc32(str(i).encode()) % 3 != 1
+
+
+def slow_counts(text):
+    """Buckets of n-grams of letters, one after another."""
+    line = "\0" + re.sub(r"\0+", "\0", "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0" for c in text or "")).strip("\0") + "\0"
+    found = {}
+    for n in L.ORDERS if len(line) > 2 else ():
+        for at in range(len(line) - n + 1):
+            h = 0
+            for j, c in enumerate(line[at : at + n]):
+                h = (h * 0x100000001B3 + ord(c) + j + 1) % 2**64
+            if n > 1 or line[at] != "\0":
+                bucket = (h * 0x9E3779B97F4A7C15 % 2**64 >> 48) % L.BUCKETS
+                found[bucket] = found.get(bucket, 0) + 1
+    return found
+
+
+@tables
+def test_language_query_equals_a_slow_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    counts = {r.doc_id: slow_counts(r.text) for r in docs}
+    rows = sorted((r.lang, r.doc_id) for r in docs if r.lang is not None and r.text is not None and learnt(r.doc_id))
+    packed = {i: np.array(sorted(c.items()), "i8").reshape(-1, 2) for i, c in counts.items()}
+    rows.sort(key=lambda x: (x[0], packed[x[1]][:, 0].astype("u2").tobytes() + packed[x[1]][:, 1].astype("u4").tobytes()))
+    m = L.fit([packed[i] for _, i in rows], [y for y, _ in rows])
+    got = {r.doc_id: r for r in L.query(spark, SF).collect()}
+    assert set(got) == set(counts)
+    for i, c in counts.items():
+        assert got[i].held_out == (not learnt(i))
+        if not c:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = sum(c.values())
+        z = [(sum(float(m.scores[b][k]) * n for b, n in c.items()) / total + m.offset[k]) / m.temperature for k in range(len(m.languages))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert got[i].lang_pred == m.languages[int(np.argmax(z))] and abs(got[i].score - max(e) / sum(e)) < 1e-6
+
+
+@tables
+def test_toxicity_query_equals_a_slow_version(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    toxic = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.toxic in (0, 1) and r.doc_id in texts and learnt(r.doc_id):
+            toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+    terms = {i: np.array(sorted({zlib.crc32(w.encode()) % T.BUCKETS for w in re.findall(r"\w+", (t or "").lower())}), "i4") for i, t in texts.items()}
+    rows = sorted((terms[i].tobytes(), y, i) for i, y in toxic.items())
+    m = T.fit([terms[i] for _, _, i in rows], np.array([y for _, y, _ in rows], "i8"))
+    at = {int(t): k for k, t in enumerate(m.terms)}
+    got = {r.doc_id: r for r in T.query(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i in texts:
+        own = [at[int(t)] for t in terms[i] if int(t) in at]
+        z = m.offset + sum(float(m.weights[k]) for k in own)
+        z += sum(float(m.factors[a].astype("f8") @ m.factors[b].astype("f8")) for n, a in enumerate(own) for b in own[:n])
+        p = 1 / (1 + math.exp(-max(-40.0, min(40.0, m.scale * z + m.shift))))
+        assert abs(got[i].score - p) < 1e-4 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (not learnt(i))

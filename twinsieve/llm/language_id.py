@@ -1,8 +1,8 @@
 """Operator 1: language identification.
 
 A text is the average of the embeddings of its hashed subwords (letter n-grams with word bounds), put through a linear
-softmax. Embeddings and weights are trained together in numpy by stochastic gradient descent on a bounded sample of
-labelled rows; probabilities are calibrated by a temperature fitted on a part of it, and a prediction whose calibrated
+softmax. Embeddings and weights are trained together in numpy by stochastic gradient descent on the counts of all
+subwords of the whole texts of a bounded sample of labelled rows; probabilities are calibrated by a temperature fitted on a part of it, and a prediction whose calibrated
 probability is under one half is rejected: it would be wrong more often than right.
 """
 
@@ -20,6 +20,8 @@ from .common import held_out, in_batches, kept, table
 
 UNKNOWN = "und"
 BUCKETS, ORDERS, DIMENSIONS = 1 << 16, (1, 2, 3, 4), 16
+#: Languages that a model knows at most, the most frequent of the sample's table.
+LANGUAGES = 1024
 #: Code points handled at once, so that memory doesn't grow with a text.
 PART = 1 << 20
 
@@ -68,12 +70,21 @@ def subwords(text: str, lower: np.ndarray, overlap: int = max(ORDERS)) -> Iterat
         yield np.concatenate(found)
 
 
+def counted(text: str | None, lower: np.ndarray) -> np.ndarray:
+    """(bucket, how often) of all n-grams of the whole text, by bucket."""
+    total = np.zeros(BUCKETS, "i8")
+    for found in subwords(text or "", lower):
+        total += np.bincount(found, minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    return np.stack([used, total[used]], 1)
+
+
 def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 7) -> Model | None:
-    """A model of (n-gram buckets, language) rows; None without any row. The last fifth of a shuffle calibrates."""
-    rows = [(f, y) for f, y in zip(features, labels, strict=True) if len(f)]
+    """A model of (counts of n-gram buckets, language) rows; None without any row. The last fifth of a shuffle calibrates."""
+    rows = [(f[:, 0], f[:, 1] / f[:, 1].sum(), y) for f, y in zip(features, labels, strict=True) if len(f)]
     if not rows:
         return None
-    languages = sorted({y for _, y in rows})
+    languages = sorted({y for _, _, y in rows})
     number = {y: k for k, y in enumerate(languages)}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -86,15 +97,15 @@ def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: fl
     for _ in range(epochs):
         for chunk in np.array_split(rng.permutation(fitted), -(-len(fitted) // batch)):
             ids = np.concatenate([rows[k][0] for k in chunk])
-            sizes = np.array([len(rows[k][0]) for k in chunk])
             seen = np.zeros(BUCKETS, bool)
             seen[ids] = True
             used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
-            doc = np.repeat(np.arange(len(chunk)), sizes)
-            share = np.bincount(doc * len(used) + place, minlength=len(chunk) * len(used)).reshape(len(chunk), -1).astype("f4") / sizes[:, None]
+            doc = np.repeat(np.arange(len(chunk)), [len(rows[k][0]) for k in chunk])
+            share = np.zeros((len(chunk), len(used)), "f4")
+            share[doc, place] = np.concatenate([rows[k][1] for k in chunk])
             vectors = share @ table_[used]
             p = _softmax(vectors @ weights + offset)
-            p[np.arange(len(chunk)), [number[rows[k][1]] for k in chunk]] -= 1
+            p[np.arange(len(chunk)), [number[rows[k][2]] for k in chunk]] -= 1
             p /= len(chunk)
             now = rate * (1 - done / steps)
             table_[used] -= now * len(chunk) * (share.T @ (p @ weights.T))
@@ -102,8 +113,8 @@ def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: fl
             offset -= now * p.sum(0)
             done += 1
     scores = (table_ @ weights).astype("f4")
-    logits = np.array([scores[rows[k][0]].mean(0, dtype="f8") + offset for k in held])
-    truth = np.array([number[rows[k][1]] for k in held])
+    logits = np.array([rows[k][1] @ scores[rows[k][0]] + offset for k in held])
+    truth = np.array([number[rows[k][2]] for k in held])
     loss = {t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 61)}
     return Model(languages, scores, offset.astype("f8"), float(min(loss, key=loss.get)), 0.5)
 
@@ -114,8 +125,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(df: DataFrame, label: Column, most: int, id_col: str) -> DataFrame:
-    """About `most` rows in equal parts of each label (all rows of a rare one), chosen by a hash of the id."""
-    counts = {r[0]: r[1] for r in df.groupBy(label.alias("label")).count().collect()}
+    """About `most` rows in equal parts of each label (all rows of a rare one), chosen by a hash of the id.
+
+    Rows of the LANGUAGES most frequent labels, ties to the lesser, so that what the driver gets is bounded.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label.alias("label")).count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
     if not counts:
         return df.limit(0)
     each = most / len(counts)
@@ -123,10 +137,10 @@ def sample(df: DataFrame, label: Column, most: int, id_col: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) < F.try_element_at(share, label) * (1 << 20))
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 6000, ngrams: int = 2000) -> Model | None:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 6000) -> Model | None:
     """Train on at most about `most` rows of df with a language, equally many of each language where it has them.
 
-    Of each of those texts the model sees at most `ngrams` n-grams, evenly spaced over the whole text.
+    All n-grams of those whole texts count; of each text its at most BUCKETS counts come to the driver.
     """
     rows = sample(df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("label")), F.col("label"), most, id_col)
 
@@ -135,14 +149,20 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                found = np.concatenate([np.zeros(0, "i8"), *subwords(text, lower)])
-                out.append(found[:: max(1, -(-len(found) // ngrams))].astype("i4").tobytes())
+                found = counted(text, lower)
+                out.append(found[:, 0].astype("u2").tobytes() + found[:, 1].astype("u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["ids", "label"])
 
     got = rows.select("text", "label").transform(in_batches, run, "ids binary, label string").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
-    return fit([np.frombuffer(x, "i4") for _, x in pairs], [y for y, _ in pairs])
+    return fit([unpacked(x) for _, x in pairs], [y for y, _ in pairs])
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    """counted() from six bytes for each bucket: all buckets, then all counts."""
+    n = len(counts) // 6
+    return np.stack([np.frombuffer(counts[: 2 * n], "u2"), np.frombuffer(counts[2 * n :], "u4")], 1).astype("i8")
 
 
 def judge(text: str | None, model: Model | None, lower: np.ndarray) -> tuple[str, float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,11 @@ from .common import in_batches, kept, table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts longer than this many characters are cut at safe boundaries.
 LONG = 1 << 16
+#: What `\s` of the pattern matches, by Unicode's property White_Space: fixed values.
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The library's backtracking over a run of white space fails from some hundred thousand characters on; a run of so many
+#: is encoded as the piece that it is.
+RUN = 1 << 14
 
 
 def load(path: str, pattern: str):
@@ -32,7 +38,7 @@ def safe_parts(text: str, size: int = LONG) -> Iterator[str]:
 
     A cut lies between a letter or digit and a space or line feed: no alternative of the pattern goes on
     from a character that isn't white space to one that is, and a run of white space is never divided.
-    A stretch without such a place stays whole.
+    A stretch without such a place stays whole. Runs of white space of any length are for pieces() to take out.
     """
     start, n = 0, len(text)
     while n - start > size:
@@ -45,13 +51,32 @@ def safe_parts(text: str, size: int = LONG) -> Iterator[str]:
         yield text[start:]
 
 
+def pieces(text: str, size: int = LONG, run: int = RUN) -> Iterator[tuple[str, bool]]:
+    """safe_parts(), and whether the part is one match of the pattern: a run of `run` white characters or more.
+
+    Such a match is the whole run at the end of a text; before anything else it leaves the run's last character to what
+    follows, where a blank joins the next match and any other is a match by itself.
+    """
+    at = 0
+    for found in re.finditer(f"[{WHITE}]{{{run},}}", text) if len(text) >= run else ():
+        end = found.end() - (found.end() < len(text))
+        if found.start() > at:
+            yield from ((part, False) for part in safe_parts(text[at : found.start()], size))
+        yield text[found.start() : end], True
+        at = end
+    if at < len(text):
+        yield from ((part, False) for part in safe_parts(text[at:], size))
+
+
+def encoded_parts(encoding, text: str | None) -> Iterator[list[int]]:
+    """Token ids of a whole text, part by part; none for a null or empty one."""
+    for part, single in pieces(text or ""):
+        yield encoding._encode_single_piece(part) if single else encoding.encode_ordinary(part)
+
+
 def encode_text(encoding, text: str | None) -> np.ndarray:
     """Token ids of a whole text; none for a null or empty one."""
-    if not text:
-        return np.zeros(0, "<u4")
-    if len(text) <= LONG:
-        return np.array(encoding.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(encoding.encode_ordinary(p), "<u4") for p in safe_parts(text)])
+    return np.concatenate([np.zeros(0, "<u4"), *(np.array(ids, "<u4") for ids in encoded_parts(encoding, text))])
 
 
 def decode_ids(encoding, ids: np.ndarray) -> bytes:
@@ -100,8 +125,7 @@ def digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", tex
             n, coded, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 count, a, b = 0, hashlib.sha256(), hashlib.sha256()
-                for part in safe_parts(text or ""):
-                    ids = encoding.encode_ordinary(part)
+                for ids in encoded_parts(encoding, text):
                     count += len(ids)
                     a.update(np.array(ids, "<u4").tobytes())
                     b.update(encoding.decode_bytes(ids))

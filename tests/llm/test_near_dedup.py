@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -7,11 +8,11 @@ from twinsieve.llm.components import components
 
 
 def brute(rows):
-    """Classes by all pairs of shingle sets."""
+    """Classes by all pairs of weighted shingles."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"\w+", (t or "").lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
     ids = sorted(sets)
     up = list(range(len(ids)))
 
@@ -23,7 +24,7 @@ def brute(rows):
     for x, a in enumerate(ids):
         for y in range(x):
             s, t = sets[a], sets[ids[y]]
-            if s and t and len(s & t) >= 0.8 * len(s | t):
+            if s and t and (s & t).total() >= 0.8 * (s | t).total():
                 p, q = root(x), root(y)
                 up[max(p, q)] = min(p, q)
     return {a: ids[root(x)] for x, a in enumerate(ids)}
@@ -31,6 +32,7 @@ def brute(rows):
 
 def corpus(rng, n):
     base = [[f"w{k}" for k in rng.integers(0, 400, rng.integers(30, 120))] for _ in range(n // 6)]
+    base = [b * int(rng.integers(1, 4)) if k % 3 == 0 else b for k, b in enumerate(base)]
     out = []
     for _ in range(n):
         words = list(base[int(rng.integers(len(base)) ** 1.0 * rng.random())])
@@ -83,6 +85,37 @@ def test_classes_equal_brute_force(spark, monkeypatch):
             assert N.classes(df.limit(0)).count() == 0
 
 
+def test_weights_decide(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words), " ".join(words * 3), " ".join(words * 3 + words[:20]), " ".join(words + ["x"])]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute(list(enumerate(texts))) == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def test_ids_of_any_type_shared_ids_and_clashing_names(spark):
+    rng = np.random.default_rng(6)
+    texts = corpus(rng, 40)
+    names = ["_id", "id", "doc", "tag", "same", "class", "class_id", "keep", "rep", "n", "turn", "_tag", "spans"]
+    rows = [(f"k{i:03d}", t, *[i] * len(names)) for i, t in enumerate(texts)]
+    rows += [(None, texts[0], *[7] * len(names)), (None, texts[0], *[7] * len(names)), ("k001", texts[1], *[0] * len(names)), ("k002", "another text of k002", *[1] * len(names)), ("k002", None, *[2] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id string, text string, " + ", ".join(f"{n} int" for n in names))
+    want = {f"k{i:03d}": f"k{c:03d}" for i, c in brute(list(enumerate(texts))).items()}
+    got = N.classes(df).collect()
+    assert len(got) == len(rows) and sorted(got[0].asDict()) == ["class_id", "doc_id", "keep"]
+    assert all(r.class_id == want[r.doc_id] for r in got if r.doc_id not in (None, "k002")) and all(r.class_id is None and r.keep for r in got if r.doc_id is None)
+    left = N.one_of_each(df)
+    assert left.columns == df.columns
+    kept = [(r.doc_id, r.text, r._id) for r in left.collect()]
+    expected = [(f"k{i:03d}", t, i) for i, t in enumerate(texts) if want[f"k{i:03d}"] == f"k{i:03d}"]
+    expected = [(a, b, 0) if a == "k001" else (a, b, c) for a, b, c in expected]
+    expected += [(None, texts[0], 7)] * 2 + [("k002", "another text of k002", 1), ("k002", None, 2)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, expected))
+    days = df.limit(30).selectExpr("date_add(date'2020-01-01', _id) AS doc_id", "text")
+    assert N.classes(days).filter("keep").count() == N.one_of_each(days).count() > 3
+    unique = spark.createDataFrame([(i, t, i, i) for i, t in enumerate(texts)], "doc_id smallint, text string, _id int, id int")
+    assert {r.doc_id for r in N.one_of_each(unique).collect()} == {i for i, c in brute(list(enumerate(texts))).items() if i == c}
+
+
 def test_a_large_key_is_linked_by_its_centre_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     points = {i: int(x) for i, x in enumerate(rng.choice([*range(0, 40), *range(100, 130), 500, 503], 150))}

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import materialise
+
+#: Keys that may each hold more than this part of all rows: there are at most so many, so that they can be broadcast.
+HEAVY = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +61,44 @@ def in_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator
     return df.mapInArrow(sparing, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with as many underscores before it as no column of df needs."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, times: str, total: int, how: str = "inner") -> DataFrame:
+    """rows.join(facts, key, how), without a hot key in the shuffle.
+
+    facts has a row for each key, and in `times` how often `rows` has it, or more; these add up to `total` or less. Keys
+    with more than one HEAVY-th of the total, fewer than HEAVY by that, are broadcast; no other key is hot.
+    """
+    hot = facts.filter(F.col(times) * HEAVY > total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.filter(F.col(times) * HEAVY <= total), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def text_tag(text_col: str) -> Column:
+    """SHA-256 of a text; a null one counts as empty."""
+    return F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256)
+
+
+def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """docs (doc bigint, bytes binary), and, if ids are no unique integers, the table of what each doc stands for.
+
+    Then distinct (id, text) rows are numbered in the order of id (null first) and digest of the text.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("bytes"))
+    integer = df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if integer and rows.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count() == 0:
+        return rows.select(F.col("id").cast("bigint").alias("doc"), "bytes"), None
+    tagged = rows.withColumn("tag", F.sha2("bytes", 256)).dropDuplicates(["id", "tag"])
+    found = materialise(tagged.orderBy(F.col("id").asc_nulls_first(), "tag").withColumn("doc", F.monotonically_increasing_id()), "numbered")
+    return found.select("doc", "bytes"), found.select("doc", "id", "tag")
+
+
 class Bounded(dict):
     """word -> value by make(word), forgotten as a whole beyond `most` words; long words are not kept."""
 

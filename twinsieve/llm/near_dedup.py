@@ -1,13 +1,14 @@
 """Operator 8: near-duplicate documents by DartMinHash signatures.
 
-Darts are thrown, by hashing, into the plane of weight and rank of each shingle: every unit of weight has a Poisson
-process of ranks. Those in a document's own region, under a rank bound that gives about k ln k + 2k darts, are dealt to
-k coordinates, of which each keeps the earliest; two documents agree in a coordinate with the probability of their
-weighted Jaccard similarity. Bands of coordinates give candidates. Then, without any cap:
+A document is its shingles, each weighted by how often it occurs. Darts are thrown, by hashing, into the plane of weight
+and rank of each shingle: every unit of weight has a Poisson process of ranks. Those in a document's own region, under a
+rank bound that gives about k ln k + 2k darts, are dealt to k coordinates, of which each keeps the earliest; two
+documents agree in a coordinate with the probability of their weighted Jaccard similarity. Bands of coordinates give
+candidates. Then, without any cap:
 
-1. documents of equal shingle sets are one representative;
+1. documents of equal weighted shingles are one representative;
 2. in each bucket of a band, sketches link members that may be similar enough; only a spanning forest is kept;
-3. within the components of these links, shingle sets are compared exactly, until what is connected is known to be:
+3. within the components of these links, weighted shingles are compared exactly, until what is connected is known to be:
    members of a large component with one of them first, what is left with the others, block against block;
 4. the components of the exact links are the classes.
 """
@@ -20,19 +21,20 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import Bounded, in_batches, kept, table
+from .common import Bounded, free_name, in_batches, kept, numbered, table, text_tag, with_facts
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-#: A pair of similarity 0.8 agrees in fewer than this share of coordinates once in some 10 million times, and shares no
-#: band once in 330,000 times (binomial distributions over 160 coordinates and 32 bands).
-SKETCH_SHARE = 0.62
+#: A pair of similarity 0.8 shares no band once in 330,000 times, and agrees in fewer than this share of coordinates once
+#: in some 10^17 times, less often than digests collide (binomial distributions over 32 bands and 160 coordinates).
+SKETCH_SHARE = 0.5
 #: Members of a bucket, and bytes of the sets of a component, that are compared in one go; larger ones are cut into blocks.
 BUCKET_BLOCK, EXACT_BYTES = 2048, 4 << 20
 PART = 1 << 20
@@ -83,32 +85,41 @@ def shingles(text: str | None, hashes: Bounded, n: int = WORDS) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(carry.tobytes())], "u8") if len(carry) else np.zeros(0, "u8")
 
 
+def weighted(text: str | None, hashes: Bounded) -> bytes:
+    """Distinct shingles in order, their counts if any is over 1, and whether there are counts; empty without a word."""
+    found, counts = np.unique(shingles(text, hashes), return_counts=True)
+    if not len(found):
+        return b""
+    several = bool(counts.max() > 1)
+    return found.tobytes() + (counts.astype("u4").tobytes() if several else b"") + bytes([several])
+
+
+def opened(value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and counts of weighted()."""
+    n = len(value) // (12 if value[-1] else 8)
+    found = np.frombuffer(value, "u8", n)
+    return found, np.frombuffer(value, "u4", n, 8 * n).astype("i8") if value[-1] else np.ones(n, "i8")
+
+
 def _throw(cells: np.ndarray, limit: np.ndarray | None, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks under the bound, and the darts' own hashes, of each unit cell; limit: how much of a cell's weight counts."""
-    ranks, darts = [], []
-    rank, j = np.zeros(len(cells)), 0
-    many = int(bound + 12 + 7 * bound**0.5)
-    if len(cells) * many <= 50_000:
-        drawn = mix(cells[:, None] + np.arange(1, many + 1, dtype="u8") * np.uint64(_GOLDEN))
-        rank = np.cumsum(-np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53), 1)
+    """Ranks under the bound, and the darts' own hashes, of each unit cell; limit: how much of a cell's weight counts.
+
+    Some ranks of each cell are drawn at a time, until its ranks have passed the bound.
+    """
+    ranks, darts, drawn_before = [np.zeros(0)], [np.zeros(0, "u8")], 0
+    last, many = np.zeros(len(cells)), max(1, min(int(bound + 12 + 7 * bound**0.5), 50_000 // max(1, len(cells))))
+    while len(cells):
+        drawn = mix(cells[:, None] + np.arange(drawn_before + 1, drawn_before + many + 1, dtype="u8") * np.uint64(_GOLDEN))
+        rank = last[:, None] + np.cumsum(-np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53), 1)
         inside = rank < bound
+        more = inside[:, -1]
         if limit is not None:
             inside &= (mix(drawn ^ np.uint64(_A)) >> np.uint64(11)).astype("f8") * 2.0**-53 < limit[:, None]
-        return rank[inside], mix(drawn[inside] ^ np.uint64(_B))
-    while len(cells):
-        j += 1
-        drawn = mix(cells + np.uint64(j * _GOLDEN & 0xFFFFFFFFFFFFFFFF))
-        rank = rank - np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53)
-        alive = rank < bound
-        cells, rank, drawn = cells[alive], rank[alive], drawn[alive]
-        if limit is not None:
-            limit = limit[alive]
-            hit = (mix(drawn ^ np.uint64(_A)) >> np.uint64(11)).astype("f8") * 2.0**-53 < limit
-            ranks.append(rank[hit])
-            darts.append(mix(drawn[hit] ^ np.uint64(_B)))
-        else:
-            ranks.append(rank)
-            darts.append(mix(drawn ^ np.uint64(_B)))
+            limit = limit[more]
+        ranks.append(rank[inside])
+        darts.append(mix(drawn[inside] ^ np.uint64(_B)))
+        cells, last = cells[more], rank[more, -1]
+        drawn_before += many
     return np.concatenate(ranks), np.concatenate(darts)
 
 
@@ -121,7 +132,7 @@ def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int =
         owner = np.repeat(np.arange(len(elements)), units)
         unit = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
         cells = np.where(unit == 0, mix(elements[owner]), mix(mix(elements[owner]) + unit.astype("u8")))
-        limit, total = np.minimum(1.0, weights[owner] - unit), float(weights.sum())
+        limit, total = None if (units == weights).all() else np.minimum(1.0, weights[owner] - unit), float(weights.sum())
     bound = (k * np.log(k) + 2 * k) / total
     while True:
         ranks, darts = _throw(cells, limit, bound)
@@ -141,18 +152,21 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return keys.astype("i8")
 
 
-def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, same (digest of the shingle set; null without a word), bands, sketch (a byte of each coordinate)."""
+def sign(docs: DataFrame) -> DataFrame:
+    """docs (doc bigint, bytes binary) -> id, same (digest of the weighted shingles; null without a word), bands, sketch.
+
+    A sketch has a byte of each coordinate.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("word hashes", word_hashes)
         for batch in batches:
             same, keys, sketches = [], [], []
             for text in batch.column(1).to_pylist():
-                elements = np.unique(shingles(text, hashes))
-                if len(elements):
-                    sig = signature(elements)
-                    same.append(xxhash.xxh3_128_digest(elements.tobytes()))
+                value = weighted(text, hashes)
+                if value:
+                    sig = signature(*opened(value))
+                    same.append(xxhash.xxh3_128_digest(value))
                     keys.append(band_keys(sig))
                     sketches.append((sig >> np.uint64(56)).astype("u1").tobytes())
                 else:
@@ -161,7 +175,11 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "same", "bands", "sketch"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string")).transform(in_batches, run, "id bigint, same binary, bands array<bigint>, sketch binary")
+    return docs.select("doc", F.col("bytes").cast("string")).transform(in_batches, run, "id bigint, same binary, bands array<bigint>, sketch binary")
+
+
+def _total(facts: DataFrame, times: str) -> int:
+    return facts.agg(F.sum(times)).first()[0] or 0
 
 
 def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int, near: Near) -> DataFrame:
@@ -169,17 +187,20 @@ def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int,
 
     Members of a key whose weights w sum up to `size` or less are compared in one task. Of a larger key all are compared
     with its least id first, which links the copies of one text in linear work, and what is far from that one is
-    compared, in blocks, with its like and with all the others. values: id and what near() compares.
+    compared, in blocks, with its like and with all the others. values: id and what near() compares. No task gets all
+    rows of a hot key: keys are told their sizes by with_facts(), and the centre by a join on parts of a key.
     """
-    totals = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("w").alias("_w")).filter("_n > 1").select(key, F.ceil(F.col("_w") / size).cast("int").alias("_k"))
-    whole, flags = rows.join(totals, key), ("left", "right", "tied")
+    totals = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("w").alias("_w")).filter("_n > 1")
+    totals = materialise(totals.select(key, "_n", F.ceil(F.col("_w") / size).cast("int").alias("_k")), "totals")
+    whole, flags = with_facts(rows, totals, key, "_n", _total(totals, "_n")).drop("_n"), ("left", "right", "tied")
     yes, no = F.lit(True), F.lit(False)
     met = whole.filter("_k = 1").select(key, F.lit(0).cast("bigint").alias("pair"), "id", *(x.alias(n) for x, n in zip((yes, yes, no), flags, strict=True)))
-    large = materialise(whole.filter("_k > 1").select(key, "id", "w"), "large")
-    if large.limit(1).count() == 0:
+    if totals.filter("_k > 1").limit(1).count() == 0:
         return _by_group(met.join(values, "id"), key, value, near)
-    centres = large.groupBy(key).agg(F.min("id").alias("c"))
-    centres = centres.join(values.select(F.col("id").alias("c"), F.col(value).alias("_centre")), "c")
+    large = materialise(whole.filter("_k > 1").select(key, "id", "w", "_k"), "large")
+    centres = large.groupBy(key, "_k").agg(F.min("id").alias("c")).join(values.select(F.col("id").alias("c"), F.col(value).alias("_centre")), "c")
+    centres = centres.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
+    parted = large.withColumn("_part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_k")).cast("int")).drop("_k")
 
     def to_centre(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,17 +208,18 @@ def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int,
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ok, pa.bool_())], names=[key, "id", "w", "c", "ok"])
 
     kind = rows.schema[key].dataType.simpleString()
-    star = large.join(centres, key).join(values, "id").select(key, "id", "w", "c", value, "_centre").transform(in_batches, to_centre, f"{key} {kind}, id bigint, w bigint, c bigint, ok boolean")
+    star = parted.join(centres, [key, "_part"]).join(values, "id").select(key, "id", "w", "c", value, "_centre").transform(in_batches, to_centre, f"{key} {kind}, id bigint, w bigint, c bigint, ok boolean")
     star = materialise(star, "star")
 
-    def blocks(of: DataFrame, name: str) -> DataFrame:
-        return of.groupBy(key).agg(F.ceil(F.sum("w") / size).cast("int").alias(name))
-
     def dealt(of: DataFrame, many: str) -> DataFrame:
         return of.withColumn("_b", F.pmod(F.xxhash64("id", F.lit("block")), F.col(many)).cast("bigint"))
 
-    counts = blocks(star.filter("NOT ok"), "_r").join(blocks(star.filter("ok"), "_d"), key)
-    rest, tied = dealt(star.filter("NOT ok").join(counts, key), "_r"), dealt(star.filter("ok").join(counts, key), "_d")
+    def blocks(of: str) -> Column:
+        return F.ceil(F.sum(F.when(F.col("ok") if of == "ok" else ~F.col("ok"), F.col("w"))) / size).cast("int")
+
+    counts = materialise(star.groupBy(key).agg(F.count("*").alias("_n"), blocks("not").alias("_r"), blocks("ok").alias("_d")).filter("_r IS NOT NULL"), "counts")
+    told = with_facts(star, counts, key, "_n", _total(counts, "_n"))
+    rest, tied = dealt(told.filter("NOT ok"), "_r"), dealt(told.filter("ok"), "_d")
 
     def turned(of: DataFrame, times: str) -> DataFrame:
         return of.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times).cast("bigint") - 1)))
@@ -262,33 +284,29 @@ def near_sketches(sketches: list[bytes], a: int, rest: np.ndarray) -> np.ndarray
 
 
 def near_sets(sets: list[bytes], a: int, rest: np.ndarray) -> np.ndarray:
-    """Which of `rest` have a Jaccard similarity of SIMILARITY or more with a; sets are sorted."""
-    own = np.frombuffer(sets[a], "u8")
-    sizes = np.array([len(sets[b]) // 8 for b in rest])
-    out = (sizes >= SIMILARITY * len(own) - 1e-9) & (len(own) >= SIMILARITY * sizes - 1e-9)
+    """Which of `rest` have a weighted Jaccard similarity of SIMILARITY or more with a; values as of weighted()."""
+    own, times = opened(sets[a])
+    others = [opened(sets[b]) for b in rest]
+    total, totals = int(times.sum()), np.array([int(n.sum()) for _, n in others])
+    out = (totals >= SIMILARITY * total - 1e-9) & (total >= SIMILARITY * totals - 1e-9)
     possible = np.flatnonzero(out)
     for start in range(0, len(possible), 64):
         some = possible[start : start + 64]
-        gathered = np.concatenate([np.frombuffer(sets[rest[k]], "u8") for k in some])
-        at = np.minimum(np.searchsorted(own, gathered), len(own) - 1)
-        common = np.add.reduceat((own[at] == gathered).astype("i8"), np.cumsum(sizes[some]) - sizes[some])
-        out[some] = common >= SIMILARITY * (len(own) + sizes[some] - common) - 1e-9
+        found, counts = (np.concatenate([others[k][j] for k in some]) for j in (0, 1))
+        sizes = np.array([len(others[k][0]) for k in some])
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        common = np.add.reduceat(np.where(own[at] == found, np.minimum(times[at], counts), 0), np.cumsum(sizes) - sizes)
+        out[some] = common >= SIMILARITY * (total + totals[some] - common) - 1e-9
     return out
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, class_id, keep: the least id of each document's class, and whether it is the document's own.
-
-    Two documents are linked if the sets of their five-word shingles (words: runs of letters, digits and underscores,
-    in lower case; a text of fewer words is one shingle) have a Jaccard similarity of 0.8 or more; a class is a
-    component of links. A null or empty text, or one without words, is a class of its own, as is a null id. Rows with
-    the same id are one document. Other columns are neither read nor returned.
-    """
-    signed = materialise(sign(df, id_col, text_col), "signed")
-    same = signed.filter("same IS NOT NULL AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"))
-    one = signed.filter("same IS NOT NULL AND id IS NOT NULL").select("same", "id", "bands", "sketch")
-    members = materialise(one.select("same", "id").join(same, "same").select("id", "rep"), "members")
-    reps = one.join(members.filter("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "bands", "sketch")
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc, class (the least doc of its class) of docs (doc bigint, bytes binary) with a word."""
+    signed = materialise(sign(docs), "signed").filter("same IS NOT NULL")
+    groups = materialise(signed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    copies = with_facts(signed.select("same", "id"), groups, "same", "n", _total(groups, "n"), "left")
+    members = materialise(copies.select("id", F.coalesce("rep", "id").alias("rep")), "members")
+    reps = signed.select("id", "bands", "sketch").join(members.filter("id <> rep").select("id"), "id", "left_anti")
     rows = reps.select(F.explode("bands").alias("bucket"), "id", F.lit(1).cast("bigint").alias("w"))
     maybe = _linked(rows, reps.select("id", "sketch"), "bucket", "sketch", BUCKET_BLOCK, near_sketches)
     near = materialise(components(maybe), "near")
@@ -296,19 +314,41 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("word hashes", word_hashes)
         for batch in batches:
-            sets = [np.unique(shingles(t, hashes)).tobytes() for t in batch.column(2).to_pylist()]
+            sets = [weighted(t, hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "id", "set"])
 
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("_text"))
-    sets = near.join(texts, "id").dropDuplicates(["id"]).select("root", "id", "_text").transform(in_batches, to_sets, "root bigint, id bigint, set binary")
+    texts = docs.select(F.col("doc").alias("id"), F.col("bytes").cast("string").alias("text"))
+    sets = near.join(texts, "id").select("root", "id", "text").transform(in_batches, to_sets, "root bigint, id bigint, set binary")
     sets = materialise(sets, "sets")
     members_of = sets.select("root", "id", F.octet_length("set").cast("bigint").alias("w"))
     links = _linked(members_of, sets.select("id", "set"), "root", "set", EXACT_BYTES, near_sets)
-    roots = components(links).select(F.col("id").alias("rep"), F.col("root").alias("_class"))
-    found = members.distinct().join(roots, "rep", "left").select(F.col("id").alias("_id"), F.coalesce("_class", "rep").alias("_class"))
-    found = found.groupBy("_id").agg(F.min("_class").alias("_class"))
-    out = df.select(F.col(id_col)).join(found, F.col(id_col).cast("bigint") == F.col("_id"), "left")
-    return out.select(F.col(id_col), F.coalesce("_class", F.col(id_col).cast("bigint")).alias("class_id")).withColumn("keep", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).join(components(links).select(F.col("id").alias("rep"), "root"), "rep")
+    sizes = materialise(sizes, "classes")
+    found = with_facts(members, sizes, "rep", "n", _total(sizes, "n"), "left")
+    return found.select(F.col("id").alias("doc"), F.coalesce("root", "rep").alias("class"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, class_id, keep: the least id of each document's class, and whether the document is that one.
+
+    Two documents are linked if their five-word shingles (words: runs of letters, digits and underscores, in lower case;
+    a text of fewer words is one shingle), weighted by how often they occur, have a Jaccard similarity of 0.8 or more: the
+    sum of the lesser weights over that of the greater. A class is a component of links. A null or empty text, or one
+    without words, is a class of its own. Ids are of any type that orders; a null one has no class and is kept. Rows
+    repeated whole are one document and get the same result; rows that share an id but not the text are documents of
+    their own, the one with the lesser SHA-256 first. Other columns are neither read nor returned.
+    """
+    docs, names = numbered(df.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    found = _classes(docs)
+    if names is None:
+        rows, found = df.select(F.col(id_col).alias("id")), found.withColumn("class_id", F.col("class").cast(df.schema[id_col].dataType))
+        out = rows.join(found, F.col("id") == F.col("doc"), "left")
+    else:
+        least = names.select(F.col("doc").alias("class"), F.col("id").alias("class_id"))
+        told = names.join(found, "doc").join(least, "class").select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "doc", "class", "class_id")
+        rows = df.select(F.col(id_col).alias("id"), text_tag(text_col).alias("tag"))
+        out = rows.join(told, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce(F.col("class") == F.col("doc"), F.lit(True)).alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,24 +356,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document is the first of its class, with all their columns; rows repeated whole stay once.
+    """The rows of docs whose document is the first of its class, with all their columns.
 
-    Rows with a null id or without a word stay.
+    Documents are read as by classes(). Rows with a null id or without a word stay, those with both an id and a text that
+    another row has too just once: the first by their columns as JSON.
     """
-    kept_ids = classes(docs, id_col, text_col).filter("keep").select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct()
-    out = docs.join(materialise(kept_ids, "kept"), F.col(id_col) == F.col("_id"), "left_semi")
-    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, text_col])
-    return out.union(docs.filter(F.col(id_col).isNull()))
+    rows, names = numbered(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
+    gone = materialise(_classes(rows).filter("doc <> class").select("doc"), "gone")
+    own, tag, turn = (free_name(docs, x) for x in ("id", "tag", "turn"))
+    if names is None:
+        return docs.join(gone.withColumnRenamed("doc", own), F.col(id_col).cast("bigint") == F.col(own), "left_anti")
+    gone = names.join(gone, "doc", "left_semi").select(F.col("id").alias(own), F.col("tag").alias(tag))
+    left = docs.join(gone, (F.col(id_col) == F.col(own)) & (text_tag(text_col) == F.col(tag)), "left_anti")
+    once = left.filter(F.col(id_col).isNotNull()).withColumn(tag, text_tag(text_col))
+    first = F.row_number().over(W.partitionBy(id_col, tag).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    once = once.withColumn(turn, first).filter(F.col(turn) == 1).select(*docs.columns)
+    return once.union(left.filter(F.col(id_col).isNull()))
 
 
 #: The same by all pairs that share a shingle, and a closure over their links.
 SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
+u AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS s FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+s AS (SELECT doc_id, s, count(*) AS c FROM u GROUP BY ALL),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS c FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 10 * c >= {round(10 * SIMILARITY)} * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM r JOIN both_ways ON doc_id = a)

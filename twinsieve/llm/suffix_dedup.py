@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import in_batches, table
+from .common import free_name, in_batches, numbered, table, text_tag
 
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1
@@ -396,20 +396,6 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """docs (doc bigint, bytes binary), and, if ids are no unique integers, the table of what each doc stands for.
-
-    Then distinct (id, text) rows are numbered in the order of id (null first) and digest of the text.
-    """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("bytes"))
-    integer = df.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if integer and rows.groupBy("id").count().filter("count > 1 OR id IS NULL").limit(1).count() == 0:
-        return rows.select(F.col("id").cast("bigint").alias("doc"), "bytes"), None
-    tagged = rows.withColumn("tag", F.sha2("bytes", 256)).dropDuplicates(["id", "tag"])
-    numbered = materialise(tagged.orderBy(F.col("id").asc_nulls_first(), "tag").withColumn("doc", F.monotonically_increasing_id()), "numbered")
-    return numbered.select("doc", "bytes"), numbered.select("doc", "id", "tag")
-
-
 def removed(docs: DataFrame) -> DataFrame:
     """doc, spans array<struct<start, end>> of documents (doc unique bigint, bytes binary) that lose bytes.
 
@@ -476,13 +462,13 @@ def strip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    docs, names = _numbered(df, id_col, text_col)
+    docs, names = numbered(df, id_col, text_col)
     found = _packed(docs).join(removed(docs), "doc", "left").select("doc", "packed", "spans")
     found = found.transform(in_batches, run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     kind = df.schema[id_col].dataType
     if names is None:
         return found.withColumnRenamed("doc", id_col).withColumn(id_col, F.col(f"`{id_col}`").cast(kind))
-    rows = df.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256).alias("tag"))
+    rows = df.select(F.col(id_col).alias("id"), text_tag(text_col).alias("tag"))
     by_row = names.join(found, "doc").drop("doc").withColumnsRenamed({"id": "_id", "tag": "_tag"})
     out = rows.join(by_row, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
@@ -497,30 +483,31 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Bytes of a character that lost another of its bytes go with it. A null text stays null; ids are read as by strip().
     """
-    names = docs.columns
+    names, extra = docs.columns, free_name(docs, "spans")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            spans = batch.column(batch.schema.names.index("_spans")).to_pylist()
             out = []
-            for text, found in zip(texts, spans, strict=True):
+            for text, found in zip(texts, batch.column(len(names)).to_pylist(), strict=True):
                 if found:
                     data = text.encode()
                     text = keep(data, *cover(len(data), found)).decode(errors="ignore")
                 out.append(text)
-            columns = [pa.array(out, pa.string()) if c == text_col else batch.column(batch.schema.names.index(c)) for c in names]
+            columns = [pa.array(out, pa.string()) if c == text_col else batch.column(k) for k, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    numbered, shared = _numbered(docs, id_col, text_col)
-    spans = removed(numbered).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
+    rows, shared = numbered(docs, id_col, text_col)
+    spans = removed(rows).select("doc", F.col("spans").alias(extra))
     if shared is None:
-        met = docs.join(spans, F.col(id_col).cast("bigint") == F.col("_doc"), "left")
+        number = free_name(docs, "doc")
+        spans = spans.withColumnRenamed("doc", number)
+        met = docs.join(spans, F.col(id_col).cast("bigint") == F.col(number), "left")
     else:
-        spans = shared.join(spans, F.col("doc") == F.col("_doc")).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
-        tag = F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256)
-        met = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left")
-    out = met.select(*names, "_spans").transform(in_batches, run, docs.schema)
+        own, tag = free_name(docs, "id"), free_name(docs, "tag")
+        spans = shared.join(spans, "doc").select(F.col("id").alias(own), F.col("tag").alias(tag), extra)
+        met = docs.join(spans, F.col(id_col).eqNullSafe(F.col(own)) & (text_tag(text_col) == F.col(tag)), "left")
+    out = met.select(*names, extra).transform(in_batches, run, docs.schema)
     return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -62,9 +62,11 @@ def test_large_components_are_exact_or_refused(spark):
         M.top_k(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), "true")
 
 
-@pytest.mark.parametrize("page", [8192, 500])
+@pytest.mark.parametrize("page", [8192, 20])
 def test_recall_and_scores_of_the_graph(spark, monkeypatch, page):
-    monkeypatch.setattr(V, "PAGE", page)
+    """In one page, and in 60."""
+    monkeypatch.setattr(G, "PAGE", page)
+    monkeypatch.setattr(G, "SEEDS", 40)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (1500, 24)).astype("f4") * rng.uniform(0.5, 2, (1500, 1)).astype("f4")
     x[rng.random(1500) < 0.2] = x[0]

@@ -1,4 +1,4 @@
-"""Vectors in pages: what exact search (operator 3) and approximate search (operator 6) share.
+"""Vectors in pages, for exact search (operator 3); reading vectors is shared with approximate search (operator 6).
 
 The largest inner product is the least distance after one more component: with M the largest norm, x becomes
 (x, sqrt(M^2 - |x|^2)) and a query (q, 0), so that their squared distance is |q|^2 + M^2 - 2 q.x. Vectors are dealt to
@@ -24,8 +24,8 @@ from .common import in_batches
 
 #: Vectors in a page, about; pivots at most; vectors whose scores give each query a first bound.
 PAGE, PIVOTS, SEEDS = 8192, 2048, 2048
-#: Queries in a block; queries, about, that one copy of a page answers.
-BLOCK, PER_COPY = 128, 2048
+#: Queries in a block; queries, about, that one copy of a page answers: more bytes of queries than a page has.
+BLOCK, PER_COPY = 128, 1 << 16
 #: Relative slack of squared distances, and of distances, which near nought lose half of their digits.
 SLACK, ROUNDING = 1e-9, 1e-7
 

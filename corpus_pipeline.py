@@ -17,28 +17,49 @@ from twinsieve.session import materialise
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a null or letterless text is not."""
+    """Documents whose language is recognised.
+
+    A null, empty or letterless text is not. Rows are judged one by one, so rows repeated or with a null id are judged
+    like any other; a row without a language trains nothing. Other columns, whatever their names, stay as they are.
+    """
     return language_id.accepted(docs, language_id.train(docs.filter(~held_out())))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold."""
+    """Documents that score under the threshold.
+
+    A null text is scored as an empty one. Rows are judged one by one, repeated ones alike; a null id has no label and
+    trains nothing, and of labels that differ for one id the toxic one counts. Other columns stay as they are.
+    """
     labels = table(spark, sf_dir, "labels").filter(~held_out())
     return toxicity.accepted(docs, toxicity.train(docs, labels))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near copies."""
+    """One document, that with the least id, of each class of near copies.
+
+    Rows with a null id or a text without words stay. Rows with the same id and text stay once, the first by their
+    columns as JSON; the same id with another text is another document. Other columns stay as they are.
+    """
     return near_dedup.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur earlier."""
+    """All documents, without the passages that occur earlier.
+
+    Earlier is by id, then by place; a null id comes first, and of rows that share an id the lesser SHA-256 of the text.
+    Rows repeated whole are one document and lose the same. A null text stays null. Other columns stay as they are, but
+    for n_chars, which counts the new text.
+    """
     return suffix_dedup.kept_texts(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows."""
+    """The pieces of all documents in windows.
+
+    A null or empty text is its end id alone; each row is packed for itself, with a null or repeated id too. Only the
+    ids and texts of docs are read.
+    """
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -20,10 +20,10 @@ def lookup(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
     An entry is valid as long as the file's time of modification, in milliseconds, and its length are what they were.
     """
-    entries = cache.select(*KEY, F.col("modified_ms").alias("_ms"), F.col("file_len").alias("_len"), F.col("hash").alias("_hash"), F.col("data_len").alias("_data_len"))
-    valid = (F.col("_ms") == F.col("modified_ms")) & (F.col("_len") == F.col("len"))
-    met = chunks.join(entries, KEY, "left")
-    return met.withColumn("cached_hash", F.when(valid, F.col("_hash"))).withColumn("cached_len", F.when(valid, F.col("_data_len"))).drop("_ms", "_len", "_hash", "_data_len")
+    state = [*KEY, "modified_ms", "len"]
+    entries = cache.select(*KEY, "modified_ms", F.col("file_len").alias("len"), "hash", "data_len")
+    entries = entries.groupBy(*state).agg(F.max(F.struct("hash", "data_len")).alias("_entry"))  # an append may repeat one
+    return chunks.join(entries, state, "left").withColumns({"cached_hash": F.col("_entry.hash"), "cached_len": F.col("_entry.data_len")}).drop("_entry")
 
 
 def through(chunks: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -30,13 +30,16 @@ def local_session(cpus: int = 8, name: str = "twinsieve") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, as in local tests, a temporary folder is made and set for this session.
+    Where it is unset, as in local tests, a temporary folder is made and set for this session; only a local master can
+    do with one, others raise ValueError.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="twinsieve-")
     spark.sparkContext.setCheckpointDir(root)
     return jsc.getCheckpointDir().get()

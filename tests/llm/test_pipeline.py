@@ -22,12 +22,13 @@ def documents(rng):
         text += " " + passage if i % 10 == 3 else ""
         rows.append((i, text, lang, "s", len(text)))
     rows += [(300 + k, rows[k + 1][1] + " more", "en", "s", 1) for k in range(0, 40, 4)]
-    return [*rows, (400, None, "en", "s", None), (401, "", "de", None, 0), (402, "12 34", None, "s", 5), (403, "the river " * 30_000, "en", "s", 9), (None, "the house and no id", "en", "s", 3)]
+    rows = [*rows, (400, None, "en", "s", None), (401, "", "de", None, 0), (402, "12 34", None, "s", 5), (403, "the river " * 30_000, "en", "s", 9), (None, "the house and no id", "en", "s", 3)]
+    return [(*r, r[0], 7, "x") for r in rows]
 
 
 def test_each_stage_against_brute_force(spark, tmp_path):
     rows = documents(np.random.default_rng(1))
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id long, doc int, spans string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stages = dict(P.STAGES)

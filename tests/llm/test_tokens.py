@@ -103,3 +103,14 @@ def test_every_id_lies_in_one_piece(spark):
         padding += 0 if at & (at - 1) == 0 else P.WINDOW - at
     assert padding <= P.WINDOW
     assert P.pack(df.limit(0), PATH).count() == 0
+
+
+def test_ids_of_other_types_and_wide_ids(spark):
+    texts = [(k, f"word{k} and more") for k in range(60)]
+    base = spark.createDataFrame(texts, "k int, text string")
+    for kind in ("CAST(k AS SMALLINT)", "date_add(date'1969-12-20', k)", "timestamp_seconds(k - 30)", "concat('k', lpad(k, 3, '0'))"):
+        df = base.selectExpr(f"{kind} AS doc_id", "text")
+        manifest = S.write(df, stage_path(spark, "sst"), PATH, 70_000, shard_bytes=400)
+        got = sorted(S.read(manifest).collect(), key=lambda r: r.start)
+        assert manifest.count() > 2 and [r.doc_id for r in got] == [r.doc_id for r in df.orderBy("doc_id").collect()]
+        assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(plain(t, 70_000), "<u4").tobytes()) for _, t in texts]

@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from ..session import stage_path
 from .common import in_batches, kept, table
-from .word_bpe import VOCABULARY, WordEncoder
+from .word_bpe import VOCABULARY, WordEncoder, load
 
 MAGIC = b"TWSSTAB1"
 _FOOTER = "<QQQQQQB7x8s"
 BLOCK_BYTES, RESTART, PROBES, BITS = 1 << 16, 16, 7, 10
+#: Shards at most: their splitters are part of the plan, and the driver adds up their ids.
+MOST_SHARDS = 1 << 15
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -60,6 +62,26 @@ def from_key(key: bytes, integer: bool = True) -> int | str | None:
     return struct.unpack(">Q", key[1:])[0] - (1 << 63) if integer else key[1:].decode()
 
 
+def stored(column: Column, kind: str) -> Column:
+    """Ids of type `kind` as integers or strings in the same order."""
+    if kind in ("bigint", "int", "smallint", "tinyint", "boolean"):
+        return column.cast("int").cast("bigint") if kind == "boolean" else column.cast("bigint")
+    if kind == "date":
+        return F.unix_date(column).cast("bigint")
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    if kind == "string":
+        return column
+    raise ValueError(f"ids of type {kind} have no keys in a sorted table")
+
+
+def restored(column: Column, kind: str) -> Column:
+    """The ids that stored() was given."""
+    if kind == "date":
+        return F.date_from_unix_date(column.cast("int"))
+    return F.timestamp_micros(column) if kind == "timestamp" else column.cast(kind)
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -233,19 +255,23 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str =
     one shuffle carries their ids. shard_bytes: text bytes to a shard, on average. A shard's file name holds a
     random part: of a task that is run again, the manifest names the file of the run that counted. The manifest
     (shard int, path string, docs long, n_ids long, first, last key) is written under `path`, too.
-    A null id comes first; rows of the same id are ordered by their ids' bytes.
+    A null id comes first; rows of the same id are ordered by their ids' bytes, and are in one shard, which a task
+    writes as it reads them. Ids may be integers, strings, dates, timestamps or booleans, others raise ValueError; in
+    the manifest and in lookup() they are integers or strings, as of stored(), and `kind` names their type. An id takes
+    two bytes, or four if the vocabulary or the end id has need of them. From MOST_SHARDS on shards grow instead.
     """
-    spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
+    spark, original = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    df = df.select(stored(F.col(id_col), original).alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col, kind = "id", "text", "string" if original == "string" else "bigint"
     total = df.agg(F.sum(F.octet_length(text_col).cast("bigint")).alias("n"), F.count("*").alias("rows")).first()
-    shards = max(1, math.ceil(((total.n or 0) + 8 * total.rows) / shard_bytes))
-    width = 2
+    shards = min(MOST_SHARDS, max(1, math.ceil(((total.n or 0) + 8 * total.rows) / shard_bytes)))
+    width = 2 if max(load(vocabulary).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     splits: list[Any] = []
     if shards > 1:
-        if kind in ("bigint", "int", "smallint", "tinyint"):
+        if kind == "bigint":
             quantiles = [k / shards for k in range(1, shards)]
             splits = sorted(set(df.agg(F.percentile_approx(id_col, quantiles, max(10_000, 20 * shards)).alias("q")).first().q or []))
-        else:  # any other ordered type: bounded sample of 100 ids a shard
+        else:  # strings: bounded sample of 100 ids a shard
             sample = [r[0] for r in df.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col)).limit(100 * shards).collect()]
             sample.sort()
             splits = sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else []
@@ -278,9 +304,10 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str =
         .sortWithinPartitions(id_col, "ids")
         .select(id_col, "ids")
         .transform(in_batches, run, schema)
+        .withColumn("kind", F.lit(original))
         .write.parquet(f"{path}/manifest")
     )
-    return spark.read.schema(schema).parquet(f"{path}/manifest")
+    return spark.read.schema(f"{schema}, kind string").parquet(f"{path}/manifest")
 
 
 def _rank_in(splits: Column, value: Column, n: int) -> Column:
@@ -300,9 +327,10 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     spark = manifest.sparkSession
     kind = manifest.schema["first"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    starts, at = [], 0
-    for r in sorted(manifest.select("shard", "path", "n_ids").collect()):
+    arrow_kind = pa.string() if kind == "string" else pa.int64()
+    starts, at, original = [], 0, kind
+    for r in sorted(manifest.select("shard", "path", "n_ids", "kind").collect()):
+        original = r.kind
         starts.append((r.path, at))
         at += r.n_ids
 
@@ -322,7 +350,8 @@ def read(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     yield _rows(rows, arrow_kind, id_col)
 
     schema = f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint"
-    return spark.createDataFrame(starts, "path string, start bigint").repartition(max(1, len(starts))).transform(in_batches, run, schema)
+    rows = spark.createDataFrame(starts, "path string, start bigint").repartition(max(1, len(starts))).transform(in_batches, run, schema)
+    return rows.withColumn(id_col, restored(F.col(f"`{id_col}`"), original))
 
 
 def _rows(rows: list[tuple], kind: pa.DataType, id_col: str) -> pa.RecordBatch:

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import with_facts
 
 
-def _stars(edges: DataFrame, small: bool) -> DataFrame:
-    """edges a > b. Links each node's larger (or smaller) neighbours to the least of them and itself."""
+def _stars(edges: DataFrame, small: bool, total: int) -> DataFrame:
+    """edges a > b, `total` or fewer. Links each node's larger (or smaller) neighbours to the least of them and itself."""
     if small:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     else:
         sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    joined = with_facts(sides, least, "u", "n", total if small else 2 * total)
     if small:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
@@ -27,14 +28,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, root: every node that has a link, with the least id of its component; loops and repeated links are allowed.
 
     Each round is written to the shared folder, which cuts lineage; the number of rounds grows with the logarithm of
-    the longest chain. Hot nodes are met by a partial minimum and a join that Spark can split.
+    the longest chain. A hot node's minimum is partly taken before the shuffle, and told by a broadcast of hot nodes alone.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b").distinct()
     now, before = materialise(now, "links"), None
+    total = now.count()
     while True:
-        now = materialise(_stars(_stars(now, False), True), "links")
+        turned = materialise(_stars(now, False, total), "turned")
+        now = materialise(_stars(turned, True, turned.count()), "links")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

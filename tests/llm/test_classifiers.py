@@ -120,7 +120,7 @@ def test_language_query_equals_a_slow_version(spark):
     rows = sorted((r.lang, r.doc_id) for r in docs if r.lang is not None and r.text is not None and learnt(r.doc_id))
     packed = {i: np.array(sorted(c.items()), "i8").reshape(-1, 2) for i, c in counts.items()}
     rows.sort(key=lambda x: (x[0], packed[x[1]][:, 0].astype("u2").tobytes() + packed[x[1]][:, 1].astype("u4").tobytes()))
-    m = L.fit([packed[i] for _, i in rows], [y for y, _ in rows])
+    m = L.fit([tuple(packed[i].T) for _, i in rows], [y for y, _ in rows])
     got = {r.doc_id: r for r in L.query(spark, SF).collect()}
     assert set(got) == set(counts)
     for i, c in counts.items():

@@ -79,9 +79,12 @@ def counted(text: str | None, lower: np.ndarray) -> np.ndarray:
     return np.stack([used, total[used]], 1)
 
 
-def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 7) -> Model | None:
-    """A model of (counts of n-gram buckets, language) rows; None without any row. The last fifth of a shuffle calibrates."""
-    rows = [(f[:, 0], f[:, 1] / f[:, 1].sum(), y) for f, y in zip(features, labels, strict=True) if len(f)]
+def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 6, rate: float = 1.0, batch: int = 64, seed: int = 7) -> Model | None:
+    """A model of (n-gram buckets, their counts), language rows; None without any row. The last fifth of a shuffle calibrates.
+
+    Rows stay as they came, which may be in two and four bytes; only a batch at a time is turned into shares.
+    """
+    rows = [(*f, y) for f, y in zip(features, labels, strict=True) if len(f[0])]
     if not rows:
         return None
     languages = sorted({y for _, _, y in rows})
@@ -96,13 +99,13 @@ def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: fl
     steps, done = epochs * (-(-len(fitted) // batch)), 0
     for _ in range(epochs):
         for chunk in np.array_split(rng.permutation(fitted), -(-len(fitted) // batch)):
-            ids = np.concatenate([rows[k][0] for k in chunk])
+            ids = np.concatenate([rows[k][0] for k in chunk]).astype("i8")
             seen = np.zeros(BUCKETS, bool)
             seen[ids] = True
             used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
             doc = np.repeat(np.arange(len(chunk)), [len(rows[k][0]) for k in chunk])
             share = np.zeros((len(chunk), len(used)), "f4")
-            share[doc, place] = np.concatenate([rows[k][1] for k in chunk])
+            share[doc, place] = np.concatenate([_shares(rows[k][1]) for k in chunk])
             vectors = share @ table_[used]
             p = _softmax(vectors @ weights + offset)
             p[np.arange(len(chunk)), [number[rows[k][2]] for k in chunk]] -= 1
@@ -113,12 +116,16 @@ def fit(features: list[np.ndarray], labels: list[str], epochs: int = 6, rate: fl
             offset -= now * p.sum(0)
             done += 1
     scores = (table_ @ weights).astype("f4")
-    logits = np.array([rows[k][1] @ scores[rows[k][0]] + offset for k in held])
+    logits = np.array([_shares(rows[k][1]) @ scores[rows[k][0]] + offset for k in held])
     truth = np.array([number[rows[k][2]] for k in held])
     loss = {t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 10, 61)}
     return Model(languages, scores, offset.astype("f8"), float(min(loss, key=loss.get)), 0.5)
 
 
+def _shares(counts: np.ndarray) -> np.ndarray:
+    return counts / counts.sum(dtype="i8")
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -156,13 +163,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = rows.select("text", "label").transform(in_batches, run, "ids binary, label string").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
+    del got
     return fit([unpacked(x) for _, x in pairs], [y for y, _ in pairs])
 
 
-def unpacked(counts: bytes) -> np.ndarray:
-    """counted() from six bytes for each bucket: all buckets, then all counts."""
+def unpacked(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts, as views of six bytes for each bucket: all buckets, then all counts."""
     n = len(counts) // 6
-    return np.stack([np.frombuffer(counts[: 2 * n], "u2"), np.frombuffer(counts[2 * n :], "u4")], 1).astype("i8")
+    return np.frombuffer(counts, "u2", n), np.frombuffer(counts, "u4", n, 2 * n)
 
 
 def judge(text: str | None, model: Model | None, lower: np.ndarray) -> tuple[str, float]:

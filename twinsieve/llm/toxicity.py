@@ -73,6 +73,16 @@ def _by_row(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(table: np.ndarray, at: np.ndarray, ends: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Sums of table[at[ends[k] : ends[k + 1]]], of which about `most` rows are gathered at a time."""
+    out, k = np.zeros((len(ends) - 1, table.shape[1]), table.dtype), 0
+    while k < len(ends) - 1:
+        j = max(k + 1, int(np.searchsorted(ends, ends[k] + most, "right")) - 1)
+        out[k:j] = _by_row(table[at[ends[k] : ends[j]]], ends[k : j + 1] - ends[k])
+        k = j
+    return out
+
+
 class _Rows:
     """Rows of terms, one after another, for sums over rows and over terms."""
 
@@ -83,8 +93,8 @@ class _Rows:
         self.at = places[np.arange(len(self.doc)) + np.repeat(ends[rows] - self.ends[:-1], sizes)]
 
     def over_terms(self, x: np.ndarray) -> np.ndarray:
-        """For each row the sum of x, which has a row for each term."""
-        return _by_row(x, self.ends)
+        """For each row the sum of x, a table of terms, over its terms."""
+        return _summed(x, self.at, self.ends)
 
 
 def _by_place(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
@@ -105,13 +115,13 @@ class _State:
     def copy(self) -> _State:
         return _State(self.offset, self.weights.copy(), self.factors.copy(), self.seen_w.copy(), self.seen_v.copy(), self.paired)
 
-    def logits(self, r: _Rows) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Logits of rows, the factors of their terms, and those summed up by row; no factors count until paired."""
+    def logits(self, r: _Rows) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits of rows, and the factors of their terms summed up by row; no factors count until paired."""
+        z = self.offset + r.over_terms(self.weights[:, None])[:, 0]
         if not self.paired:
-            return self.offset + r.over_terms(self.weights[r.at]), None, None
-        v = self.factors[r.at]
-        sums = r.over_terms(v)
-        return self.offset + r.over_terms(self.weights[r.at]) + 0.5 * ((sums**2).sum(1) - r.over_terms((v**2).sum(1))), v, sums
+            return z, None
+        sums = r.over_terms(self.factors)
+        return z + 0.5 * ((sums**2).sum(1) - r.over_terms((self.factors**2).sum(1, keepdims=True))[:, 0]), sums
 
     def loss(self, r: _Rows, y: np.ndarray) -> float:
         z = self.logits(r)[0]
@@ -119,7 +129,7 @@ class _State:
 
     def step(self, r: _Rows, y: np.ndarray, rate: float, lasso: np.ndarray, group: np.ndarray | None) -> None:
         """One adaptive gradient step with its proximal step; without `group` factors stay."""
-        z, v, sums = self.logits(r)
+        z, sums = self.logits(r)
         g = (_sigmoid(z) - y) / r.n
         self.offset -= 0.5 * rate * float(g.sum())
         here = np.zeros(len(self.weights), bool)
@@ -131,7 +141,7 @@ class _State:
         w = self.weights[used] - step * grad
         self.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - step * lasso[used])
         if group is not None:
-            grad = _by_place(at, g[r.doc, None] * (sums[r.doc] - v), len(used))
+            grad = _by_place(at, g[r.doc, None] * (sums[r.doc] - self.factors[r.at]), len(used))
             self.seen_v[used] += grad**2
             step = 0.3 * rate / np.sqrt(self.seen_v[used] + 1e-6)
             x = self.factors[used] - step * grad
@@ -156,8 +166,8 @@ def _leading(r: _Rows, rest: np.ndarray, often: np.ndarray, rng: np.random.Gener
     diagonal = np.bincount(r.at, rest[r.doc], terms) / r.n * scale**2
     base = np.linalg.qr(rng.normal(size=(terms, min(terms, FACTORS + 2))))[0]
     for _ in range(turns):
-        sums = r.over_terms((base.astype("f4") * scale[:, None])[r.at]) * rest.astype("f4")[:, None]
-        image = _by_row(sums[doc], ends) / r.n * scale[:, None] - diagonal[:, None] * base
+        sums = r.over_terms(base.astype("f4") * scale[:, None]) * rest.astype("f4")[:, None]
+        image = _summed(sums, doc, ends) / r.n * scale[:, None] - diagonal[:, None] * base
         small, held = base.T @ image, base
         base = np.linalg.qr(image)[0]
     values, turn = np.linalg.eigh((small + small.T) / 2)

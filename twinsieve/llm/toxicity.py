@@ -64,12 +64,12 @@ def probability(model: Model, places: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _by_row(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of x[ends[k] : ends[k + 1]], noughts for an empty stretch."""
-    out = np.zeros((len(ends) - 1, *x.shape[1:]), x.dtype)
+def _by_row(x: np.ndarray, ends: np.ndarray, kind: str | None = None) -> np.ndarray:
+    """Sums, of the kind of x or the given one, of x[ends[k] : ends[k + 1]]; noughts for an empty stretch."""
+    out = np.zeros((len(ends) - 1, *x.shape[1:]), kind or x.dtype)
     some = np.flatnonzero(ends[1:] > ends[:-1])
     if len(some):
-        out[some] = np.add.reduceat(x, ends[some], 0)
+        out[some] = np.add.reduceat(x, ends[some], 0, out.dtype)
     return out
 
 
@@ -84,18 +84,32 @@ def _summed(table: np.ndarray, at: np.ndarray, ends: np.ndarray, most: int = 1 <
 
 
 class _Rows:
-    """Rows of terms, one after another, for sums over rows and over terms."""
+    """Rows of terms, one after another, for sums over rows and over terms; four bytes for each term of a row."""
 
     def __init__(self, places: np.ndarray, ends: np.ndarray, rows: np.ndarray):
         sizes = ends[rows + 1] - ends[rows]
         self.n, self.ends = len(rows), np.concatenate([[0], np.cumsum(sizes)])
-        self.doc = np.repeat(np.arange(self.n), sizes)
-        self.at = places[np.arange(len(self.doc)) + np.repeat(ends[rows] - self.ends[:-1], sizes)]
+        self.at = np.empty(self.ends[-1], "i4")
+        for k, row in enumerate(rows):
+            self.at[self.ends[k] : self.ends[k + 1]] = places[ends[row] : ends[row + 1]]
+
+    @property
+    def doc(self) -> np.ndarray:
+        """The row of each term."""
+        return np.repeat(np.arange(self.n, dtype="i4"), np.diff(self.ends))
 
     def over_terms(self, x: np.ndarray) -> np.ndarray:
         """For each row the sum of x, a table of terms, over its terms."""
         return _summed(x, self.at, self.ends)
 
+    def over_rows(self, x: np.ndarray, n: int, rows: int = 512) -> np.ndarray:
+        """For each of n terms the sum of x, a number for each row, over its rows; some rows at a time."""
+        out = np.zeros(n)
+        for k in range(0, self.n, rows):
+            ends = self.ends[k : k + rows + 1]
+            out += np.bincount(self.at[ends[0] : ends[-1]], np.repeat(x[k : k + rows], np.diff(ends)), n)
+        return out
+
 
 def _by_place(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, x[:, f], n) for f in range(x.shape[1])], 1)
@@ -134,14 +148,17 @@ class _State:
         self.offset -= 0.5 * rate * float(g.sum())
         here = np.zeros(len(self.weights), bool)
         here[r.at] = True
-        used, at = np.flatnonzero(here), (np.cumsum(here) - 1)[r.at]
-        grad = np.bincount(at, g[r.doc], len(used))
+        used, doc = np.flatnonzero(here), r.doc
+        number = np.zeros(len(here), "i4")
+        number[used] = np.arange(len(used))
+        at = number[r.at]
+        grad = np.bincount(at, g[doc], len(used))
         self.seen_w[used] += grad**2
         step = rate / np.sqrt(self.seen_w[used])
         w = self.weights[used] - step * grad
         self.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - step * lasso[used])
         if group is not None:
-            grad = _by_place(at, g[r.doc, None] * (sums[r.doc] - self.factors[r.at]), len(used))
+            grad = _by_place(at, g[doc, None] * (sums[doc] - self.factors[r.at]), len(used))
             self.seen_v[used] += grad**2
             step = 0.3 * rate / np.sqrt(self.seen_v[used] + 1e-6)
             x = self.factors[used] - step * grad
@@ -160,10 +177,9 @@ def _leading(r: _Rows, rest: np.ndarray, often: np.ndarray, rng: np.random.Gener
     of rows, by which the matrix is scaled so that neither frequent nor single terms rule it.
     """
     terms = len(often)
-    by = np.argsort(r.at, kind="stable")
-    doc, ends = r.doc[by], np.searchsorted(r.at[by], np.arange(terms + 1))
+    doc, ends = r.doc[np.argsort(r.at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(r.at, minlength=terms))])
     scale = (1 / np.sqrt(often + 0.05)).astype("f4")
-    diagonal = np.bincount(r.at, rest[r.doc], terms) / r.n * scale**2
+    diagonal = r.over_rows(rest, terms) / r.n * scale**2
     base = np.linalg.qr(rng.normal(size=(terms, min(terms, FACTORS + 2))))[0]
     for _ in range(turns):
         sums = r.over_terms(base.astype("f4") * scale[:, None]) * rest.astype("f4")[:, None]
@@ -180,17 +196,24 @@ def _leading(r: _Rows, rest: np.ndarray, often: np.ndarray, rng: np.random.Gener
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.1, lasso: float = 6.0, patience: int = 6, seed: int = 11) -> Model:
-    """A model of (distinct term buckets, 0 or 1) rows. Without rows of both labels it scores every text alike."""
+    """A model of (distinct term buckets, 0 or 1) rows. Without rows of both labels it scores every text alike.
+
+    The list of rows is emptied, to hold their terms once.
+    """
     share = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.0
     base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     none = Model(np.zeros(0, "i8"), np.zeros(0, "f4"), np.zeros((0, FACTORS), "f4"), base, 1.0, 0.0)
-    if len(set(labels.tolist())) < 2 or not sum(map(len, rows)):
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype("i8")
+    if len(set(labels.tolist())) < 2 or not ends[-1]:
         return none
-    terms, places = np.unique(np.concatenate(rows), return_inverse=True)
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    places = np.concatenate(rows).astype("i4", copy=False)
+    rows.clear()  # the caller's, too: each term of a row takes four bytes from here on
+    have = np.zeros(BUCKETS, bool)
+    have[places] = True
+    terms, places = np.flatnonzero(have), (np.cumsum(have, dtype="i4") - 1)[places]
     y, rng = labels.astype("f8"), np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    cut = max(1, len(rows) * 4 // 5)
+    order = rng.permutation(len(y))
+    cut = max(1, len(y) * 4 // 5)
     fitted, held = order[:cut], order[cut:]
     if len(set(labels[held].tolist())) < 2:
         fitted = held = order
@@ -198,7 +221,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     often = np.bincount(whole.at, minlength=len(terms)) / len(fitted)
     # what a term's gradient is by chance, in the batches that have the term: only there a penalty counts
     chance = np.sqrt(share * (1 - share) / len(fitted)) * np.maximum(np.sqrt(often * (1 - often)), 1e-6)
-    tells = np.abs(np.bincount(whole.at, (y[fitted] - share)[whole.doc], len(terms))) / len(fitted) / chance
+    tells = np.abs(whole.over_rows(y[fitted] - share, len(terms))) / len(fitted) / chance
     adapted = lasso * np.minimum(1, (CLEAR / np.maximum(tells, 1e-9)) ** 2)
     chance /= 1 - (1 - np.clip(often, 1 / len(fitted), 1 - 1e-9)) ** batch
 
@@ -207,7 +230,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
         at, upto = places, ends
         if turn % 4:
             live = ((state.weights != 0) | (state.factors != 0).any(1))[places]
-            at, upto = places[live], np.concatenate([[0], np.cumsum(live)])[ends]
+            at, upto = places[live], np.concatenate([[0], np.cumsum(_by_row(live, ends, "i8"))])
         for chunk in np.array_split(rng.permutation(fitted), -(-len(fitted) // batch)):
             state.step(_Rows(at, upto, chunk), y[chunk], rate, adapted * chance, group)
 
@@ -272,7 +295,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_text", "_label").transform(in_batches, run, "terms binary, label int").toArrow()
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
-    return fit([np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8"))
+    rows, ys = [np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8")
+    del got, pairs
+    return fit(rows, ys)
 
 
 class Scorer:

@@ -98,6 +98,14 @@ class _Rows:
         """The row of each term."""
         return np.repeat(np.arange(self.n, dtype="i4"), np.diff(self.ends))
 
+    def numbered(self, terms: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that the rows have, and `at` as places among those."""
+        number = np.zeros(terms, "i4")
+        number[self.at] = 1
+        used = np.flatnonzero(number)
+        number[used] = np.arange(len(used))
+        return used, number[self.at]
+
     def over_terms(self, x: np.ndarray) -> np.ndarray:
         """For each row the sum of x, a table of terms, over its terms."""
         return _summed(x, self.at, self.ends)
@@ -129,29 +137,29 @@ class _State:
     def copy(self) -> _State:
         return _State(self.offset, self.weights.copy(), self.factors.copy(), self.seen_w.copy(), self.seen_v.copy(), self.paired)
 
-    def logits(self, r: _Rows) -> tuple[np.ndarray, np.ndarray | None]:
-        """Logits of rows, and the factors of their terms summed up by row; no factors count until paired."""
-        z = self.offset + r.over_terms(self.weights[:, None])[:, 0]
+    def logits(self, r: _Rows, used: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits of numbered rows, and the factors of their terms summed up by row; no factors count until paired."""
+        z = self.offset + _summed(self.weights[used, None], at, r.ends)[:, 0]
         if not self.paired:
             return z, None
-        sums = r.over_terms(self.factors)
-        return z + 0.5 * ((sums**2).sum(1) - r.over_terms((self.factors**2).sum(1, keepdims=True))[:, 0]), sums
+        v = self.factors[used]
+        sums = _summed(v, at, r.ends)
+        return z + 0.5 * ((sums**2).sum(1) - _summed((v**2).sum(1, keepdims=True), at, r.ends)[:, 0]), sums
+
+    def judged(self, r: _Rows) -> np.ndarray:
+        """Logits of rows."""
+        return self.logits(r, *r.numbered(len(self.weights)))[0]
 
     def loss(self, r: _Rows, y: np.ndarray) -> float:
-        z = self.logits(r)[0]
+        z = self.judged(r)
         return float((np.logaddexp(0, z) - y * z).mean())
 
     def step(self, r: _Rows, y: np.ndarray, rate: float, lasso: np.ndarray, group: np.ndarray | None) -> None:
         """One adaptive gradient step with its proximal step; without `group` factors stay."""
-        z, sums = self.logits(r)
+        (used, at), doc = r.numbered(len(self.weights)), r.doc
+        z, sums = self.logits(r, used, at)
         g = (_sigmoid(z) - y) / r.n
         self.offset -= 0.5 * rate * float(g.sum())
-        here = np.zeros(len(self.weights), bool)
-        here[r.at] = True
-        used, doc = np.flatnonzero(here), r.doc
-        number = np.zeros(len(here), "i4")
-        number[used] = np.arange(len(used))
-        at = number[r.at]
         grad = np.bincount(at, g[doc], len(used))
         self.seen_w[used] += grad**2
         step = rate / np.sqrt(self.seen_w[used])
@@ -238,7 +246,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     for turn in range(epochs):
         epoch(linear, turn, None)
     best, least = linear, linear.loss(aside, y[held])
-    start = _leading(whole, y[fitted] - _sigmoid(linear.logits(whole)[0]), often, rng)
+    start = _leading(whole, y[fitted] - _sigmoid(linear.judged(whole)), often, rng)
     for strength in PAIRS:
         before, state = least, linear.copy()
         state.paired, state.factors = True, start.copy()
@@ -255,7 +263,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
         if least > before - 1e-3:
             break
     m = Model(terms, best.weights, best.factors, best.offset, 1.0, 0.0)
-    m.scale, m.shift = _logistic(best.logits(aside)[0], y[held])
+    m.scale, m.shift = _logistic(best.judged(aside), y[held])
     live = (m.weights != 0) | (m.factors != 0).any(1)
     return Model(terms[live], m.weights[live].astype("f4"), m.factors[live].astype("f4"), m.offset, m.scale, m.shift)
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from twinsieve.llm import common as C
 from twinsieve.llm import near_dedup as N
 from twinsieve.llm.components import components
 
@@ -130,3 +131,28 @@ def test_a_large_key_is_linked_by_its_centre_and_blocks(spark, monkeypatch):
     for size in (1000, 20, 3):
         links = N._linked(rows, values, "key", "v", size, near)
         assert {r.id: r.root for r in components(links).collect()} == want
+
+
+def test_only_rows_that_may_be_among_ids_meet_them(spark, monkeypatch):
+    ids = spark.createDataFrame([(i,) for i in range(0, 4000, 10)], "doc long")
+    rows = spark.createDataFrame([(i, "x", i, i) for i in range(4000)] + [(None, "y", 1, 2), (10, "z", 3, 4)], "doc_id int, at string, part int, `own` int")
+    want = sorted((tuple(r) for r in rows.collect() if r.doc_id is None or r.doc_id % 10), key=str)
+    for slots in (1 << 26, 1 << 15):  # the latter as if ids were too many for the map
+        monkeypatch.setattr(C, "SLOTS", slots)
+        maybe, others = C.told_apart(rows, ids, "doc_id")
+        assert maybe.columns == others.columns == rows.columns and maybe.count() + others.count() == 4002
+        assert {i for i in range(0, 4000, 10)} <= {r.doc_id for r in maybe.collect()} and maybe.count() < 500
+        assert sorted((tuple(r) for r in C.without(rows, ids, "doc_id").collect()), key=str) == want
+    assert C.without(rows, ids.limit(0), "doc_id").count() == 4002
+
+
+def test_texts_without_a_link_stay_out_of_shuffles(spark, monkeypatch):
+    """What may be linked alone reaches the links by weighted shingles."""
+    met, linked = [], N._linked
+    monkeypatch.setattr(N, "_linked", lambda rows, values, key, *rest: (met.append(values.count()) if key == "root" else None, linked(rows, values, key, *rest))[1])
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(60)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {60: 0, 61: 1} and 4 <= met[0] < 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert N.one_of_each(docs).count() == 60

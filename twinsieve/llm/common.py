@@ -17,6 +17,8 @@ from ..session import materialise
 
 #: Keys that may each hold more than this part of all rows: there are at most so many, so that they can be broadcast.
 HEAVY = 4096
+#: Bits of the broadcast map that tells rows by their keys, at most (8 MB), and for each key while there are few.
+SLOTS, SLOTS_EACH = 1 << 26, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,35 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, times: str, total: i
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def told_apart(rows: DataFrame, ids: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose `col` may be among ids (one stored column without null), and rows whose `col` is not.
+
+    A broadcast map of bits by a hash of the ids tells: every row with one of the ids is among the first, and with it a
+    few others while ids are not many more than SLOTS. So a join of long rows with ids need only shuffle the first.
+    """
+    slots = 1 << 15
+    while slots < min(SLOTS, SLOTS_EACH * ids.count()):
+        slots *= 2
+    kind = ids.schema[0].dataType
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast(kind)), F.lit(slots))
+    bits = ids.select(slot(ids.columns[0]).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
+    at, part, bitmap = (free_name(rows, x) for x in ("at", "part", "bitmap"))
+    place = F.bitmap_bit_position(slot(col))
+    asked = rows.withColumns({at: place, part: F.bitmap_bucket_number(slot(col))})
+    asked = asked.join(F.broadcast(bits.select(F.col("b").alias(part), F.col("m").alias(bitmap))), part, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.shiftright(F.col(at), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((byte.bitwiseAND(F.pow(F.lit(2), F.col(at) % 8).cast("int")) != 0) & F.col(col).isNotNull(), F.lit(False))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return asked.filter(hit).select(*own), asked.filter(~hit).select(*own)
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """rows but those whose `col` is among ids (one stored column without null): only what may be one is shuffled."""
+    maybe, others = told_apart(rows, ids, col)
+    own = free_name(rows, "own")
+    return others.union(maybe.join(ids.toDF(own), F.col(col).cast(ids.schema[0].dataType) == F.col(own), "left_anti"))
+
+
 def text_tag(text_col: str) -> Column:
     """SHA-256 of a text; a null one counts as empty."""
     return F.sha2(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")), 256)

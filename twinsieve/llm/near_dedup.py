@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import Bounded, free_name, in_batches, kept, numbered, table, text_tag, with_facts
+from .common import Bounded, free_name, in_batches, kept, numbered, table, text_tag, told_apart, with_facts, without
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -153,17 +153,18 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """docs (doc bigint, bytes binary) -> id, same (digest of the weighted shingles; null without a word), bands, sketch.
+    """docs (doc bigint, bytes binary) -> id, same (digest of the weighted shingles; null without a word), w, bands, sketch.
 
-    A sketch has a byte of each coordinate.
+    w: the bytes of weighted(). A sketch has a byte of each coordinate.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("word hashes", word_hashes)
         for batch in batches:
-            same, keys, sketches = [], [], []
+            same, size, keys, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 value = weighted(text, hashes)
+                size.append(len(value))
                 if value:
                     sig = signature(*opened(value))
                     same.append(xxhash.xxh3_128_digest(value))
@@ -173,31 +174,53 @@ def sign(docs: DataFrame) -> DataFrame:
                     same.append(None)
                     keys.append(None)
                     sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "same", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "same", "w", "bands", "sketch"])
 
-    return docs.select("doc", F.col("bytes").cast("string")).transform(in_batches, run, "id bigint, same binary, bands array<bigint>, sketch binary")
+    return docs.select("doc", F.col("bytes").cast("string")).transform(in_batches, run, "id bigint, same binary, w bigint, bands array<bigint>, sketch binary")
 
 
 def _total(facts: DataFrame, times: str) -> int:
     return facts.agg(F.sum(times)).first()[0] or 0
 
 
-def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int, near: Near) -> DataFrame:
+def to_sets(df: DataFrame) -> DataFrame:
+    """df, whose last column is a text, with weighted() of it instead, as `set`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = kept("word hashes", word_hashes)
+        for batch in batches:
+            sets = [weighted(t, hashes) for t in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "set"])
+
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.schema.fields[:-1])
+    return df.transform(in_batches, run, f"{kinds}set binary")
+
+
+def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int, near: Near, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """a, b: links of ids that connect all members (rows: key, id, w) of a key that are near, directly or by others.
 
     Members of a key whose weights w sum up to `size` or less are compared in one task. Of a larger key all are compared
     with its least id first, which links the copies of one text in linear work, and what is far from that one is
-    compared, in blocks, with its like and with all the others. values: id and what near() compares. No task gets all
-    rows of a hot key: keys are told their sizes by with_facts(), and the centre by a join on parts of a key.
+    compared, in blocks, with its like and with all the others. values: id and what near() compares, or, if `made` is
+    given, what it makes `value` of, as the last column: long values then travel as they are once, and only those of
+    larger keys are stored as made. No task gets all rows of a hot key: keys are told their sizes by with_facts(), and
+    the centre by a join on parts of a key.
     """
     totals = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum("w").alias("_w")).filter("_n > 1")
     totals = materialise(totals.select(key, "_n", F.ceil(F.col("_w") / size).cast("int").alias("_k")), "totals")
     whole, flags = with_facts(rows, totals, key, "_n", _total(totals, "_n")).drop("_n"), ("left", "right", "tied")
     yes, no = F.lit(True), F.lit(False)
     met = whole.filter("_k = 1").select(key, F.lit(0).cast("bigint").alias("pair"), "id", *(x.alias(n) for x, n in zip((yes, yes, no), flags, strict=True)))
+    if made is not None:
+        met = met.join(values, "id").select(key, "pair", "id", *flags, values.columns[-1]).transform(made)
+    else:
+        met = met.join(values, "id")
     if totals.filter("_k > 1").limit(1).count() == 0:
-        return _by_group(met.join(values, "id"), key, value, near)
+        return _by_group(met, key, value, near)
     large = materialise(whole.filter("_k > 1").select(key, "id", "w", "_k"), "large")
+    if made is not None:
+        ids = large.select("id").distinct()
+        values = materialise(told_apart(values, large.select("id"), "id")[0].join(ids, "id").select("id", values.columns[-1]).transform(made), "values")
     centres = large.groupBy(key, "_k").agg(F.min("id").alias("c")).join(values.select(F.col("id").alias("c"), F.col(value).alias("_centre")), "c")
     centres = centres.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
     parted = large.withColumn("_part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("_k")).cast("int")).drop("_k")
@@ -228,8 +251,8 @@ def _linked(rows: DataFrame, values: DataFrame, key: str, value: str, size: int,
     among = turned(rest, "_r").select(key, (F.least(b, o) * F.col("_r") + F.greatest(b, o)).alias("pair"), "id", (b <= o).alias("left"), (b >= o).alias("right"), no.alias("tied"))
     against = turned(rest, "_d").select(key, (base + b * F.col("_d") + o).alias("pair"), "id", yes.alias("left"), no.alias("right"), no.alias("tied"))
     others = turned(tied, "_r").select(key, (base + o * F.col("_d") + b).alias("pair"), "id", no.alias("left"), yes.alias("right"), yes.alias("tied"))
-    met = met.union(among).union(against).union(others)
-    return _by_group(met.join(values, "id"), key, value, near).union(star.filter("ok AND id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")))
+    met = met.unionByName(among.union(against).union(others).join(values, "id"))
+    return _by_group(met, key, value, near).union(star.filter("ok AND id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")))
 
 
 def _by_group(df: DataFrame, key: str, value: str, near: Near) -> DataFrame:
@@ -306,22 +329,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     groups = materialise(signed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "groups")
     copies = with_facts(signed.select("same", "id"), groups, "same", "n", _total(groups, "n"), "left")
     members = materialise(copies.select("id", F.coalesce("rep", "id").alias("rep")), "members")
-    reps = signed.select("id", "bands", "sketch").join(members.filter("id <> rep").select("id"), "id", "left_anti")
+    reps = without(signed.select("id", "w", "bands", "sketch"), materialise(members.filter("id <> rep").select("id"), "copies"), "id")
     rows = reps.select(F.explode("bands").alias("bucket"), "id", F.lit(1).cast("bigint").alias("w"))
     maybe = _linked(rows, reps.select("id", "sketch"), "bucket", "sketch", BUCKET_BLOCK, near_sketches)
     near = materialise(components(maybe), "near")
-
-    def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept("word hashes", word_hashes)
-        for batch in batches:
-            sets = [weighted(t, hashes) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "id", "set"])
-
     texts = docs.select(F.col("doc").alias("id"), F.col("bytes").cast("string").alias("text"))
-    sets = near.join(texts, "id").select("root", "id", "text").transform(in_batches, to_sets, "root bigint, id bigint, set binary")
-    sets = materialise(sets, "sets")
-    members_of = sets.select("root", "id", F.octet_length("set").cast("bigint").alias("w"))
-    links = _linked(members_of, sets.select("id", "set"), "root", "set", EXACT_BYTES, near_sets)
+    texts = told_apart(texts, near.select("id"), "id")[0]  # so that the texts of others are not shuffled
+    links = _linked(near.join(signed.select("id", "w"), "id"), texts, "root", "set", EXACT_BYTES, near_sets, to_sets)
     sizes = members.groupBy("rep").agg(F.count("*").alias("n")).join(components(links).select(F.col("id").alias("rep"), "root"), "rep")
     sizes = materialise(sizes, "classes")
     found = with_facts(members, sizes, "rep", "n", _total(sizes, "n"), "left")
@@ -365,7 +379,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = materialise(_classes(rows).filter("doc <> class").select("doc"), "gone")
     own, tag, turn = (free_name(docs, x) for x in ("id", "tag", "turn"))
     if names is None:
-        return docs.join(gone.withColumnRenamed("doc", own), F.col(id_col).cast("bigint") == F.col(own), "left_anti")
+        return without(docs, gone, id_col)
     gone = names.join(gone, "doc", "left_semi").select(F.col("id").alias(own), F.col("tag").alias(tag))
     left = docs.join(gone, (F.col(id_col) == F.col(own)) & (text_tag(text_col) == F.col(tag)), "left_anti")
     once = left.filter(F.col(id_col).isNotNull()).withColumn(tag, text_tag(text_col))

@@ -153,3 +153,15 @@ def test_toxicity_query_equals_a_slow_version(spark):
         z += sum(float(m.factors[a].astype("f8") @ m.factors[b].astype("f8")) for n, a in enumerate(own) for b in own[:n])
         p = 1 / (1 + math.exp(-max(-40.0, min(40.0, m.scale * z + m.shift))))
         assert abs(got[i].score - p) < 1e-4 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (not learnt(i))
+
+
+def test_training_gives_back_what_it_held(spark, monkeypatch):
+    done = []
+    for module in (L, T):
+        monkeypatch.setattr(module, "give_back", lambda: done.append("given"))
+        monkeypatch.setattr(module, "fit", lambda *a, f=module.fit: (f(*a), done.append("fitted"))[0])
+    rows = [(i, f"{('the house and', 'das Haus und')[i % 2]} x{i % 7}", ("en", "de")[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    L.train(df)
+    T.train(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"))
+    assert done == ["given", "fitted", "given"] * 2

@@ -39,6 +39,14 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def give_back() -> None:
+    """Return memory that this process holds without need to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -53,10 +61,7 @@ def in_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                with contextlib.suppress(OSError, AttributeError):
-                    ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     if df.sparkSession.conf.get(_BATCH) == "10000":
         df.sparkSession.conf.set(_BATCH, "2000")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, in_batches, kept, table
+from .common import give_back, held_out, in_batches, kept, table
 
 UNKNOWN = "und"
 BUCKETS, ORDERS, DIMENSIONS = 1 << 16, (1, 2, 3, 4), 16
@@ -164,7 +164,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
     del got
-    return fit([unpacked(x) for _, x in pairs], [y for y, _ in pairs])
+    give_back()
+    try:
+        return fit([unpacked(x) for _, x in pairs], [y for y, _ in pairs])
+    finally:  # the driver holds nothing of the training through what follows
+        del pairs
+        give_back()
 
 
 def unpacked(counts: bytes) -> tuple[np.ndarray, np.ndarray]:

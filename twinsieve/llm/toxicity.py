@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, held_out, in_batches, table
+from .common import Bounded, give_back, held_out, in_batches, table
 
 THRESHOLD = 0.7
 FACTORS = 6
@@ -305,7 +305,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     rows, ys = [np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8")
     del got, pairs
-    return fit(rows, ys)
+    give_back()
+    try:
+        return fit(rows, ys)
+    finally:  # the driver holds nothing of the training through what follows
+        give_back()
 
 
 class Scorer:

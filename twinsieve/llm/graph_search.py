@@ -31,8 +31,9 @@ from .vectors import Space, parts, sampled, space, valid
 NEIGHBOURS, FOLLOWED, LINKS = 24, 14, 56
 #: Of what a node could learn at one meeting, the nearest that it does learn.
 LEARNT = 8
-#: At the start nodes meet in groups of about so many, by so many hashes.
-GROUP, GROUPINGS = 128, 4
+#: At the start nodes meet in groups of about so many, which share a nearest pivot, by so many sets of pivots; a set has
+#: at most PIVOTS, and what exceeds GROUP about a pivot is dealt to groups by a hash.
+GROUP, GROUPINGS, PIVOTS = 512, 4, 1024
 #: Rounds end when less than this share of all links has not met.
 DONE = 0.05
 #: Nodes that a search holds, opens at a step, and begins with; nodes among which each query finds those.
@@ -92,10 +93,11 @@ def nodes_of(rows: DataFrame, sp: Space, k: int = K) -> DataFrame:
     return materialise(made.withColumn("u", F.monotonically_increasing_id()), "nodes")
 
 
-def meetings(members: DataFrame, width: int) -> DataFrame:
+def meetings(members: DataFrame, width: int, most: int = LEARNT) -> DataFrame:
     """u, v, d (negative score): what members (place, u, new, worst, unit) of a place learn of each other.
 
-    Of two old members nothing new is learnt; of others what is nearer than the member's worst neighbour.
+    Of two old members nothing new is learnt; of others the nearest `most` that are nearer than the member's worst
+    neighbour.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +109,9 @@ def meetings(members: DataFrame, width: int) -> DataFrame:
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 d = -(unit[a:b] @ unit[a:b].T)
                 d[~((d < worst[a:b, None]) & (new[a:b, None] | new[None, a:b]) & (u[a:b, None] != u[None, a:b]))] = np.inf
-                if len(d) > LEARNT:
-                    j = np.argpartition(d, LEARNT - 1, 1)[:, :LEARNT]
-                    i = np.repeat(np.arange(b - a), LEARNT)
+                if len(d) > most:
+                    j = np.argpartition(d, most - 1, 1)[:, :most]
+                    i = np.repeat(np.arange(b - a), most)
                     j = j.ravel()
                     ok = d[i, j] < np.inf
                     i, j = i[ok], j[ok]
@@ -195,14 +197,36 @@ def _merged(state: DataFrame, learnt: DataFrame, turn: int) -> DataFrame:
     return both.repartition(parts(state.sparkSession), "u").sortWithinPartitions("u", "kind").transform(in_batches, run, _STATE)
 
 
+def _by_pivots(nodes: DataFrame, sp: Space, n: int) -> DataFrame:
+    """place, u, new, worst, unit: where nodes (u, unit) meet first: with those that share one of their nearest pivots.
+
+    Pivots are nodes by a hash, in a set as many as groups of GROUP, at most PIVOTS. Of a pivot with more nodes
+    than GROUP a hash makes groups of about GROUP, so that no place is hot, whatever the vectors.
+    """
+    many = max(1, min(PIVOTS, n // GROUP))
+    picked = nodes.orderBy(F.xxhash64("u", F.lit("pivots")), "u").select("unit").limit(GROUPINGS * many).collect()
+    pivots = [np.stack([np.frombuffer(r.unit, "f2") for r in picked[j::GROUPINGS]]).astype("f4") for j in range(min(GROUPINGS, len(picked)))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = np.frombuffer(b"".join(batch.column(1).to_pylist()), "f2").reshape(batch.num_rows, sp.width + 1).astype("f4")
+            for j, some in enumerate(pivots):
+                near = (unit @ some.T).argmax(1) * GROUPINGS + j if batch.num_rows else np.zeros(0, "i8")
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype("i8")), batch.column(0), batch.column(1)], names=["near", "u", "unit"])
+
+    dealt = nodes.select("u", "unit").transform(in_batches, run, "near bigint, u bigint, unit binary")
+    dealt = materialise(dealt, "dealt")
+    groups = dealt.groupBy("near").agg(F.ceil(F.count("*") / GROUP).cast("bigint").alias("groups"))
+    place = F.col("near") + F.pmod(F.xxhash64("u", "near"), F.col("groups")) * (PIVOTS * GROUPINGS)
+    return dealt.join(F.broadcast(groups), "near").select(place.alias("place"), "u", F.lit(True).alias("new"), F.lit(3.0).cast("float").alias("worst"), "unit")
+
+
 def descend(nodes: DataFrame, sp: Space, n: int) -> DataFrame:
     """u, unit, v, d, new: the neighbour graph of nodes (u, unit), nearest first."""
     empty = F.lit(b"")
     state = nodes.select("u", "unit", empty.alias("v"), empty.alias("d"), empty.alias("new"))
-    groups = max(1, n // GROUP)
-    places = F.array(*[F.pmod(F.xxhash64("u", F.lit(j)), F.lit(groups)) * GROUPINGS + j for j in range(GROUPINGS)])
-    first = nodes.select(F.explode(places).alias("place"), "u", F.lit(True).alias("new"), F.lit(3.0).cast("float").alias("worst"), "unit")
-    state, turn = materialise(_merged(state, meetings(first, sp.width), 0), "graph"), 0
+    first = _by_pivots(nodes, sp, n)
+    state, turn = materialise(_merged(state, meetings(first, sp.width, NEIGHBOURS), 0), "graph"), 0
     while (state.agg(F.sum(F.octet_length(F.regexp_replace(F.hex("new"), "00", "")))).first()[0] or 0) // 2 > DONE * n * min(NEIGHBOURS, n):
         turn += 1
         forward = materialise(_links(state, turn), "links")

@@ -156,3 +156,20 @@ def test_texts_without_a_link_stay_out_of_shuffles(spark, monkeypatch):
     assert {i: c for i, c in got.items() if i != c} == {60: 0, 61: 1} and 4 <= met[0] < 10
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert N.one_of_each(docs).count() == 60
+
+
+def test_signing_draws_few_ranks(monkeypatch):
+    """Some ten ranks for each shingle of a usual text, not thirty, most of them in one go."""
+    drawn, mix = [], N.mix
+    monkeypatch.setattr(N, "mix", lambda x: drawn.append(x.size) or mix(x))
+    elements = mix(np.arange(1, 481, dtype="u8"))
+    one = N.signature(elements)
+    assert sum(drawn) < 15 * len(elements)
+    two = N.signature(mix(np.arange(481, 961, dtype="u8")))
+    assert (N.band_keys(np.stack([one, two])) == [N.band_keys(one), N.band_keys(two)]).all()
+
+
+def test_words_without_a_regular_expression():
+    texts = ["", "A_b c9,d.E\x1cf\x00g\n\th", *map(chr, range(256)), "naïve Café-É ß x² 漢字, İa"]
+    for text in [*texts, "x".join(texts), " ".join(texts[:130])]:
+        assert C.word_runs(text) == re.findall(r"\w+", text.lower())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -135,6 +136,15 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return found.select("doc", "bytes"), found.select("doc", "id", "tag")
 
 
+_WORD_SIGNS = "".join(c if c.isalnum() or c == "_" else " " for c in map(chr, range(128)))
+
+
+def word_runs(text: str) -> list[str]:
+    """Runs of letters, digits and underscores, in lower case; an ASCII text is split without a regular expression."""
+    low = text.lower()
+    return low.translate(_WORD_SIGNS).split() if low.isascii() else re.findall(r"\w+", low)
+
+
 class Bounded(dict):
     """word -> value by make(word), forgotten as a whole beyond `most` words; long words are not kept."""
 

@@ -182,10 +182,12 @@ def judge(text: str | None, model: Model | None, lower: np.ndarray) -> tuple[str
     """Language and calibrated probability of one whole text."""
     if not text or model is None:
         return UNKNOWN, 0.0
-    n, total = 0, np.zeros(len(model.languages))
+    n, total, most = 0, np.zeros(len(model.languages)), max(1, PART // len(model.languages))
     for found in subwords(text, lower):
         n += len(found)
-        total += model.scores[found].sum(0, dtype="f8")
+        for k in range(0, len(found), most):
+            some = found[k : k + most]
+            total += np.ones(len(some)) @ model.scores.take(some, 0).astype("f8")
     if not n:
         return UNKNOWN, 0.0
     p = _softmax((total / n + model.offset) / model.temperature)

@@ -15,7 +15,6 @@ candidates. Then, without any cap:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import Bounded, free_name, in_batches, kept, numbered, table, text_tag, told_apart, with_facts, without
+from .common import Bounded, free_name, in_batches, kept, numbered, table, text_tag, told_apart, with_facts, without, word_runs
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -72,7 +71,7 @@ def shingles(text: str | None, hashes: Bounded, n: int = WORDS) -> np.ndarray:
     """
     found, carry = [], np.zeros(0, "u8")
     for part in parts(text or ""):
-        words = re.findall(r"\w+", part.lower())
+        words = word_runs(part)
         got = np.concatenate([carry, np.fromiter(map(hashes.__getitem__, words), "u8", len(words))])
         if len(got) >= n:
             h = np.zeros(len(got) - n + 1, "u8")
@@ -104,21 +103,23 @@ def opened(value: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _throw(cells: np.ndarray, limit: np.ndarray | None, bound: float) -> tuple[np.ndarray, np.ndarray]:
     """Ranks under the bound, and the darts' own hashes, of each unit cell; limit: how much of a cell's weight counts.
 
-    Some ranks of each cell are drawn at a time, until its ranks have passed the bound.
+    Some ranks of each cell are drawn at a time, until its ranks have passed the bound: at first about as many as most
+    cells need, then, of the few that are left, more.
     """
-    ranks, darts, drawn_before = [np.zeros(0)], [np.zeros(0, "u8")], 0
-    last, many = np.zeros(len(cells)), max(1, min(int(bound + 12 + 7 * bound**0.5), 50_000 // max(1, len(cells))))
+    ranks, darts, drawn_before, last = [np.zeros(0)], [np.zeros(0, "u8")], 0, np.zeros(len(cells))
     while len(cells):
-        drawn = mix(cells[:, None] + np.arange(drawn_before + 1, drawn_before + many + 1, dtype="u8") * np.uint64(_GOLDEN))
-        rank = last[:, None] + np.cumsum(-np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53), 1)
+        ahead = max(0.0, bound - float(last.min()))
+        many = max(1, min(int(ahead + 2 + 2.5 * ahead**0.5), 50_000 // len(cells)))
+        drawn = mix(cells + np.arange(drawn_before + 1, drawn_before + many + 1, dtype="u8")[:, None] * np.uint64(_GOLDEN))
+        rank = last + np.cumsum(-np.log(((drawn >> np.uint64(11)).astype("f8") + 0.5) * 2.0**-53), 0)
         inside = rank < bound
-        more = inside[:, -1]
+        more = inside[-1]
         if limit is not None:
-            inside &= (mix(drawn ^ np.uint64(_A)) >> np.uint64(11)).astype("f8") * 2.0**-53 < limit[:, None]
+            inside &= (mix(drawn ^ np.uint64(_A)) >> np.uint64(11)).astype("f8") * 2.0**-53 < limit
             limit = limit[more]
         ranks.append(rank[inside])
         darts.append(mix(drawn[inside] ^ np.uint64(_B)))
-        cells, last = cells[more], rank[more, -1]
+        cells, last = cells[more], rank[-1, more]
         drawn_before += many
     return np.concatenate(ranks), np.concatenate(darts)
 
@@ -146,9 +147,10 @@ def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int =
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    keys = np.arange(1, bands + 1, dtype="u8")
-    for column in sig.reshape(bands, rows).T:
-        keys = mix(keys * np.uint64(0x100000001B3) + column)
+    """Keys of the bands of one signature, or, by row, of several."""
+    keys, parts_ = np.arange(1, bands + 1, dtype="u8"), sig.reshape(*sig.shape[:-1], bands, rows)
+    for k in range(rows):
+        keys = mix(keys * np.uint64(0x100000001B3) + parts_[..., k])
     return keys.astype("i8")
 
 
@@ -161,19 +163,19 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept("word hashes", word_hashes)
         for batch in batches:
-            same, size, keys, sketches = [], [], [], []
+            same, size, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 value = weighted(text, hashes)
                 size.append(len(value))
+                same.append(xxhash.xxh3_128_digest(value) if value else None)
                 if value:
-                    sig = signature(*opened(value))
-                    same.append(xxhash.xxh3_128_digest(value))
-                    keys.append(band_keys(sig))
-                    sketches.append((sig >> np.uint64(56)).astype("u1").tobytes())
-                else:
-                    same.append(None)
-                    keys.append(None)
-                    sketches.append(None)
+                    found, counts = opened(value)
+                    sigs.append(signature(found, counts if value[-1] else None))
+            table_ = np.array(sigs, "u8").reshape(-1, COORDINATES)
+            made = zip(band_keys(table_), (table_ >> np.uint64(56)).astype("u1"), strict=True)
+            keys, sketches = [None] * len(same), [None] * len(same)
+            for k, (own, sketch) in zip((k for k, x in enumerate(same) if x is not None), made, strict=True):
+                keys[k], sketches[k] = own, sketch.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "same", "w", "bands", "sketch"])
 
     return docs.select("doc", F.col("bytes").cast("string")).transform(in_batches, run, "id bigint, same binary, w bigint, bands array<bigint>, sketch binary")

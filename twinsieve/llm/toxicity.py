@@ -11,8 +11,8 @@ decide how strong the group lasso is and when to stop, and calibrate by a logist
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bounded, give_back, held_out, in_batches, table
+from .common import Bounded, give_back, held_out, in_batches, table, word_runs
 
 THRESHOLD = 0.7
 FACTORS = 6
@@ -50,7 +50,7 @@ def term_hash(word: str) -> int:
 
 
 def words(text: str | None) -> set[str]:
-    return set(re.findall(r"\w+", text.lower())) if text else set()
+    return set(word_runs(text)) if text else set()
 
 
 def logits(model: Model, places: np.ndarray) -> float:
@@ -317,12 +317,13 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        at = np.full(BUCKETS, -1, "i4")
+        at[model.terms] = np.arange(len(model.terms))
+        self.at = array("i", at.tobytes())  # place of each bucket in the model, or -1
         self.places = Bounded(self._place)
 
     def _place(self, word: str) -> int:
-        h = term_hash(word)
-        at = int(np.searchsorted(self.model.terms, h))
-        return at if at < len(self.model.terms) and self.model.terms[at] == h else -1
+        return self.at[term_hash(word)]
 
     def __call__(self, text: str | None) -> float:
         at = {k for k in map(self.places.__getitem__, words(text)) if k >= 0}

@@ -182,3 +182,20 @@ def test_judging_holds_few_scores_at_once():
     tracemalloc.stop()
     assert name == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-9
     assert peak < 4 * len(found) * 200 / 4
+
+
+def test_rows_by_term_are_dealt_a_part_at_a_time():
+    """The order of all terms, 8 bytes each and as many to sort by, once was held at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 400, 4000)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    rows = T._Rows(np.concatenate([rng.choice(3000, n, replace=False) for n in sizes]).astype("i4"), ends, rng.permutation(4000))
+    want = rows.doc[np.argsort(rows.at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(rows.at, minlength=3000))])
+    tracemalloc.start()
+    got = rows.by_term(3000, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    assert peak < 2 * 4 * len(rows.at)

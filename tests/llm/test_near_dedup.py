@@ -173,3 +173,15 @@ def test_words_without_a_regular_expression():
     texts = ["", "A_b c9,d.E\x1cf\x00g\n\th", *map(chr, range(256)), "naïve Café-É ß x² 漢字, İa"]
     for text in [*texts, "x".join(texts), " ".join(texts[:130])]:
         assert C.word_runs(text) == re.findall(r"\w+", text.lower())
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Links up to a bound are joined up at once, to what the rounds make of them."""
+    rng = np.random.default_rng(4)
+    links = [*((int(x), int(y)) for x, y in rng.integers(0, 400, (180, 2))), *((1000 + k, 1001 + k) for k in range(60)), (7, 7), (2**40, 5), (5, 2**40)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    by_rounds = sorted(map(tuple, components(edges, at_once=0).collect()))
+    monkeypatch.setattr("twinsieve.llm.components._stars", None)
+    found = components(edges)
+    assert sorted(map(tuple, found.collect())) == by_rounds and found.columns == ["id", "root"]
+    assert components(edges.limit(0)).count() == 0

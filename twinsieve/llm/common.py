@@ -40,8 +40,10 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
-def give_back() -> None:
-    """Return memory that this process holds without need to the system."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """Return memory that this process, and the driver's JVM if a session is given, holds without need to the system."""
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         with contextlib.suppress(OSError, AttributeError):

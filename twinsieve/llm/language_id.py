@@ -164,7 +164,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # sorted, so that the model doesn't depend on the order in which tasks end
     pairs = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist(), strict=True))
     del got
-    give_back()
+    give_back(df.sparkSession)
     try:
         return fit([unpacked(x) for _, x in pairs], [y for y, _ in pairs])
     finally:  # the driver holds nothing of the training through what follows

@@ -106,6 +106,26 @@ class _Rows:
         number[used] = np.arange(len(used))
         return used, number[self.at]
 
+    def counts(self, n: int, rows: int = 512) -> np.ndarray:
+        """For each of n terms how many rows have it; some rows at a time."""
+        out = np.zeros(n, "i8")
+        for k in range(0, self.n, rows):
+            out += np.bincount(self.at[self.ends[k] : self.ends[min(k + rows, self.n)]], minlength=n)
+        return out
+
+    def by_term(self, n: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of each of n terms, in order, one term after another, and where each term's end; some rows at a time."""
+        ends = np.concatenate([[0], np.cumsum(self.counts(n))])
+        out, free = np.empty(len(self.at), "i4"), ends[:-1].copy()
+        for k in range(0, self.n, rows):
+            upto = self.ends[k : k + rows + 1]
+            at = self.at[upto[0] : upto[-1]]
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            out[free[at] + np.arange(len(at)) - np.searchsorted(at, at)] = np.repeat(np.arange(k, k + len(upto) - 1, dtype="i4"), np.diff(upto))[order]
+            free += np.bincount(at, minlength=n)
+        return out, ends
+
     def over_terms(self, x: np.ndarray) -> np.ndarray:
         """For each row the sum of x, a table of terms, over its terms."""
         return _summed(x, self.at, self.ends)
@@ -185,7 +205,7 @@ def _leading(r: _Rows, rest: np.ndarray, often: np.ndarray, rng: np.random.Gener
     of rows, by which the matrix is scaled so that neither frequent nor single terms rule it.
     """
     terms = len(often)
-    doc, ends = r.doc[np.argsort(r.at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(r.at, minlength=terms))])
+    doc, ends = r.by_term(terms)
     scale = (1 / np.sqrt(often + 0.05)).astype("f4")
     diagonal = r.over_rows(rest, terms) / r.n * scale**2
     base = np.linalg.qr(rng.normal(size=(terms, min(terms, FACTORS + 2))))[0]
@@ -226,7 +246,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int
     if len(set(labels[held].tolist())) < 2:
         fitted = held = order
     whole, aside = _Rows(places, ends, fitted), _Rows(places, ends, held)
-    often = np.bincount(whole.at, minlength=len(terms)) / len(fitted)
+    often = whole.counts(len(terms)) / len(fitted)
     # what a term's gradient is by chance, in the batches that have the term: only there a penalty counts
     chance = np.sqrt(share * (1 - share) / len(fitted)) * np.maximum(np.sqrt(often * (1 - often)), 1e-6)
     tells = np.abs(whole.over_rows(y[fitted] - share, len(terms))) / len(fitted) / chance
@@ -305,7 +325,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
     rows, ys = [np.frombuffer(t, "i4") for t, _ in pairs], np.array([y for _, y in pairs], "i8")
     del got, pairs
-    give_back()
+    give_back(df.sparkSession)
     try:
         return fit(rows, ys)
     finally:  # the driver holds nothing of the training through what follows

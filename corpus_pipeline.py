@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and, but for the last, returns
 the columns of documents. The models of the first two stages are trained on the rows that reach them, by the rules of
-the queries op1 and op9: on a bounded sample whose bound is a parameter, and never on held-out rows.
+the queries op1 and op9: on a bounded sample whose bound is a parameter, and never on held-out rows. Each stage begins
+with executors that have given back what the one before left in their heaps.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from twinsieve.llm import language_id, near_dedup, packing, suffix_dedup, toxicity
-from twinsieve.llm.common import held_out, table
+from twinsieve.llm.common import executors_give_back, held_out, table
 from twinsieve.llm.word_bpe import VOCABULARY
 from twinsieve.session import materialise
 
@@ -22,6 +23,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null, empty or letterless text is not. Rows are judged one by one, so rows repeated or with a null id are judged
     like any other; a row without a language trains nothing. Other columns, whatever their names, stay as they are.
     """
+    executors_give_back(spark)
     return language_id.accepted(docs, language_id.train(docs.filter(~held_out())))
 
 
@@ -31,6 +33,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is scored as an empty one. Rows are judged one by one, repeated ones alike; a null id has no label and
     trains nothing, and of labels that differ for one id the toxic one counts. Other columns stay as they are.
     """
+    executors_give_back(spark)
     labels = table(spark, sf_dir, "labels").filter(~held_out())
     return toxicity.accepted(docs, toxicity.train(docs, labels))
 
@@ -41,6 +44,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows with a null id or a text without words stay. Rows with the same id and text stay once, the first by their
     columns as JSON; the same id with another text is another document. Other columns stay as they are.
     """
+    executors_give_back(spark)
     return near_dedup.one_of_each(docs)
 
 
@@ -51,6 +55,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows repeated whole are one document and lose the same. A null text stays null. Other columns stay as they are, but
     for n_chars, which counts the new text.
     """
+    executors_give_back(spark)
     return suffix_dedup.kept_texts(docs)
 
 
@@ -60,6 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone; each row is packed for itself, with a null or repeated id too. Only the
     ids and texts of docs are read.
     """
+    executors_give_back(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -69,3 +69,22 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_begins_with_executors_that_gave_back(spark, tmp_path):
+    spark.createDataFrame([(i, "the house and that river", "en", "s", 24) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, context = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.sparkContext
+    beans = context._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collected = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    for name, stage in P.STAGES:
+        before = collected()
+        context.setJobGroup(f"give back {name}", name)
+        try:
+            stage(spark, docs, str(tmp_path))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        first = tracker.getJobInfo(min(tracker.getJobIdsForGroup(f"give back {name}")))
+        tasks = sum(tracker.getStageInfo(k).numTasks for k in first.stageIds)
+        assert tasks == context.defaultParallelism and collected() > before, name

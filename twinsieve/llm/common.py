@@ -50,6 +50,16 @@ def give_back(spark: SparkSession | None = None) -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
+def executors_give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs return memory to the system that they hold without need, for use between stages.
+
+    A heap that grew in one stage otherwise stays as it is while Python workers grow in the next. There is a task for each
+    core, which idle executors take alike; an executor that gets none keeps what it has, and no result depends on it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -53,8 +53,8 @@ def pruned(files: DataFrame, keys: Sequence[str], opts: GroupOptions, strict: bo
 
 
 def selected(files: DataFrame, opts: GroupOptions) -> DataFrame:
-    """Files by size, name, path, hiddenness and depth below their root."""
-    out = files.filter(F.col("len") >= opts.min_size)
+    """Files by size, name, path, hiddenness and depth below their root; one of unknown length unless a size is asked for."""
+    out = files.filter(F.col("len") >= opts.min_size) if opts.min_size > 0 else files
     if opts.max_size is not None:
         out = out.filter(F.col("len") <= opts.max_size)
     out = out.filter(opts.selector().condition(F.col("path"), paths.file_name(F.col("path"))))

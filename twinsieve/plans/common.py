@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..options import GroupOptions
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +20,11 @@ META = LINKED + ", meta AS (SELECT path, device, inode, len, true AS is_file, 17
 MEMBERS = "hashed AS (SELECT *, sha256(content) AS file_hash FROM files), members AS (SELECT *, count(*) OVER (PARTITION BY len, file_hash) AS n_files FROM hashed)"
 
 
+def options(**given: object) -> GroupOptions:
+    """Options of a grouping over documents: unless a least size is given, empty ones count, as they do in the SQL."""
+    return GroupOptions(**{"min_size": 0} | given)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, and its SQL if it has one."""
 

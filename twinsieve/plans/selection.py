@@ -10,7 +10,7 @@ from ..functions.patterns import Pattern, Selector, ignored
 from ..operators import dedupe, grouping
 from ..options import DedupeOptions, GroupOptions
 from ..sources import documents, walker
-from .common import FILES, LINKED, META, query
+from .common import FILES, LINKED, META, options, query
 
 IGNORE = [("/", ["*7.txt", "!*77.txt"]), ("/src3", ["fr/", "/de/*1.txt"])]
 
@@ -61,17 +61,17 @@ def _(spark, sf_dir):
 
 @query("filter_name_glob", f"WITH {FILES} SELECT path FROM files WHERE regexp_full_match(path, '.*/(1[^/]*|[^/]*[3-5])\\.txt')")
 def _(spark, sf_dir):
-    return grouping.selected(_files(spark, sf_dir), GroupOptions(names=["1*.txt", "*[3-5].txt"])).select("path")
+    return grouping.selected(_files(spark, sf_dir), options(names=["1*.txt", "*[3-5].txt"])).select("path")
 
 
 @query("filter_path_glob", f"WITH {FILES} SELECT path FROM files WHERE regexp_full_match(path, '/src[0-4]/(en|de)/.*')")
 def _(spark, sf_dir):
-    return grouping.selected(_files(spark, sf_dir), GroupOptions(paths=["src[0-4]/{en,de}/**"])).select("path")
+    return grouping.selected(_files(spark, sf_dir), options(paths=["src[0-4]/{en,de}/**"])).select("path")
 
 
 @query("filter_exclude_glob", f"WITH {FILES} SELECT path FROM files WHERE path NOT LIKE '/src1%' AND NOT regexp_full_match(path, '.*/fr/[^/]*2\\.txt')")
 def _(spark, sf_dir):
-    return grouping.selected(_files(spark, sf_dir), GroupOptions(exclude=["/src1*/**", "**/fr/*2.txt"])).select("path")
+    return grouping.selected(_files(spark, sf_dir), options(exclude=["/src1*/**", "**/fr/*2.txt"])).select("path")
 
 
 @query(
@@ -114,7 +114,7 @@ def _(spark, sf_dir):
 
 @query("filter_depth", f"WITH {LINKED} SELECT path FROM files WHERE len(string_split(path, '/')) <= 3")
 def _(spark, sf_dir):
-    return grouping.selected(_files(spark, sf_dir, True), GroupOptions(depth=2)).select("path")
+    return grouping.selected(_files(spark, sf_dir, True), options(depth=2)).select("path")
 
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

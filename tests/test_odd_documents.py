@@ -22,7 +22,7 @@ def odd(request, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["filter_path_glob", "filter_name_glob", "filter_exclude_glob", "filter_depth"])
+@pytest.mark.parametrize("name", ["filter_path_glob", "filter_name_glob", "filter_exclude_glob", "filter_depth", "filter_regex"])
 def test_odd_documents(spark, odd, name):
     folder, con = odd
     got = entry.queries()[name](spark, folder)

@@ -87,7 +87,7 @@ def _(spark, sf_dir):
 
 @query("filter_regex", f"WITH {FILES} SELECT path FROM files WHERE regexp_full_match(path, '(?i)(/src[12]/.*|.*/es/[0-9]+\\.txt)')")
 def _(spark, sf_dir):
-    return grouping.selected(_files(spark, sf_dir), GroupOptions(paths=["^/SRC[12]/.*|.*/es/[0-9]+\\.txt$"], regex=True, ignore_case=True)).select("path")
+    return grouping.selected(_files(spark, sf_dir), options(paths=["^/SRC[12]/.*|.*/es/[0-9]+\\.txt$"], regex=True, ignore_case=True)).select("path")
 
 
 GLOBS = ["/src1*/e?/*.txt", "/**/@(de|fr)/+(1|2)*", "/{src2,src3}/**", "/src[!0-9]*/**", "/src?(1)5/e[ns]/*"]

@@ -124,8 +124,13 @@ def direct(files: DataFrame, opts: GroupOptions) -> DataFrame:
     Contents leave the plan at the scan; the shuffles carry digests. The digests of all files, some hundred bytes each,
     are stored, since members, groups and all that follows from them read them anew, and contents are read once.
     """
+    return pruned(stored_digests(files, opts), KEYS, opts, strict=True)
+
+
+def stored_digests(files: DataFrame, opts: GroupOptions) -> DataFrame:
+    """Files with file_len and file_hash in place of content, each path once, stored."""
     out = with_content(files, opts).withColumnRenamed("len", "file_len").drop("content")
-    return pruned(materialise(unique_paths(out), "digests"), KEYS, opts, strict=True)
+    return materialise(unique_paths(out), "digests")
 
 
 def transformed(files: DataFrame, opts: GroupOptions) -> DataFrame:
@@ -161,6 +166,16 @@ def summary(members: DataFrame, opts: GroupOptions) -> DataFrame:
     return out.withColumn("redundant", F.col("redundant") if under is None else F.lit(0).cast("bigint"))
 
 
+def group_summary(files: DataFrame, opts: GroupOptions) -> DataFrame:
+    """summary() of the groups to report, for columnar sources: groups are judged by their row, without their members.
+
+    Nothing is joined by the keys, so that contents that are null are a group, as for GROUP BY.
+    """
+    if opts.transform is not None or opts.skip_content_hash:
+        return summary(group(files, opts), opts)
+    return summary(stored_digests(selected(files, opts), opts), opts).filter(having(opts))
+
+
 def statistics(groups: DataFrame) -> DataFrame:
     """One row of totals over summary()."""
     return groups.agg(

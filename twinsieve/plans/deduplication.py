@@ -7,10 +7,10 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, grouping, reports
-from ..options import DedupeOptions, GroupOptions
+from ..options import DedupeOptions
 from ..session import stage_path
 from ..sources import documents
-from .common import META, query
+from .common import META, options, query
 
 _GROUPED = (
     f"WITH {META}, g AS (SELECT len AS file_len, sha256(content) AS file_hash, string_split(path, '/') AS c, * EXCLUDE (len, content) FROM meta),"
@@ -29,7 +29,7 @@ def _sql(order: str, keep: int = 1, forced: str = "false", columns: str = "path,
 
 
 def _inputs(spark, sf_dir):
-    members = grouping.group(documents.files(spark, sf_dir, True), GroupOptions())
+    members = grouping.group(documents.files(spark, sf_dir, True), options())
     return members, documents.metadata(spark, sf_dir, True)
 
 

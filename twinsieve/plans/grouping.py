@@ -8,7 +8,7 @@ from ..functions import digests, paths
 from ..operators import cache, grouping, transform
 from ..options import GroupOptions
 from ..sources import documents
-from .common import FILES, LINKED, MEMBERS, META, query
+from .common import FILES, LINKED, MEMBERS, META, options, query
 
 #: Lengths that let every stage of the cascade have work on short documents.
 SMALL = {"prefix": 256, "suffix": 256, "suffix_from": 1024, "match_links": True}
@@ -20,7 +20,7 @@ def _all(spark, sf_dir, links=False):
 
 @query("duplicate_groups", f"WITH {FILES} SELECT len AS file_len, sha256(content) AS file_hash, count(*) AS n_files FROM files GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    members = grouping.group(_all(spark, sf_dir), GroupOptions())
+    members = grouping.group(_all(spark, sf_dir), options())
     return members.groupBy(*grouping.KEYS).agg(F.count("*").alias("n_files"))
 
 
@@ -94,13 +94,12 @@ def _(spark, sf_dir):
 
 @query("group_transformed", f"WITH {FILES}, t AS (SELECT path, len, content[1:200] AS c FROM files) SELECT CAST(least(len, 200) AS BIGINT) AS file_len, sha256(c) AS file_hash, count(*) AS n_files FROM t GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf_dir):
-    opts = GroupOptions(transform=transform.transformed(lambda b: b[:200]))
+    opts = options(transform=transform.transformed(lambda b: b[:200]))
     return grouping.group(_all(spark, sf_dir), opts).groupBy(*grouping.KEYS).agg(F.count("*").alias("n_files"))
 
 
-def _groups(spark, sf_dir, links=False, **options):
-    opts = GroupOptions(**options)
-    return grouping.summary(grouping.group(_all(spark, sf_dir, links), opts), opts)
+def _groups(spark, sf_dir, links=False, **given):
+    return grouping.group_summary(_all(spark, sf_dir, links), options(**given))
 
 
 _REPLICAS = f"WITH {LINKED} SELECT len AS file_len, sha256(content) AS file_hash, count(*) AS n_files, count(DISTINCT inode) AS replicas FROM files GROUP BY 1, 2"
@@ -172,7 +171,7 @@ def _(spark, sf_dir):
 
 @query("partition_by_key", f"WITH {FILES}, {MEMBERS} SELECT len AS file_len, file_hash, string_split(path, '/')[3] AS part, count(*) AS n FROM members WHERE n_files > 1 GROUP BY 1, 2, 3")
 def _(spark, sf_dir):
-    members = grouping.group(_all(spark, sf_dir), GroupOptions())
+    members = grouping.group(_all(spark, sf_dir), options())
     return members.groupBy(*grouping.KEYS, F.element_at(paths.components(F.col("path")), 3).alias("part")).agg(F.count("*").alias("n"))
 
 
@@ -185,7 +184,7 @@ def _(spark, sf_dir):
 @query("order_groups", f"WITH {FILES}, {MEMBERS}, g AS (SELECT DISTINCT len AS file_len, file_hash FROM members WHERE n_files > 1) SELECT *, row_number() OVER (ORDER BY file_len DESC, array_to_string(list_reverse(regexp_extract_all(file_hash[1:32], '..')), '') DESC) AS place FROM g")
 def _(spark, sf_dir):
     """Places by a sort by ranges, whose partitions know how many rows come before theirs."""
-    members = grouping.group(_all(spark, sf_dir), GroupOptions())
+    members = grouping.group(_all(spark, sf_dir), options())
     return numbered(members.select(*grouping.KEYS).distinct().orderBy(*grouping.group_order()), "place")
 
 
@@ -206,7 +205,7 @@ def numbered(ordered, name):
 
 @query("order_files_in_group", f"WITH {LINKED}, h AS (SELECT len AS file_len, sha256(content) AS file_hash, path, inode FROM files), r AS (SELECT file_len, file_hash FROM h GROUP BY ALL HAVING count(DISTINCT inode) > 1) SELECT path, row_number() OVER (PARTITION BY file_len, file_hash ORDER BY len(string_split(path, '/')), string_split(path, '/')) AS place FROM h JOIN r USING (file_len, file_hash)")
 def _(spark, sf_dir):
-    groups = grouping.nested(grouping.group(_all(spark, sf_dir, True), GroupOptions()))
+    groups = grouping.nested(grouping.group(_all(spark, sf_dir, True), options()))
     return groups.select(F.posexplode("files").alias("p", "path")).select("path", (F.col("p") + 1).cast("bigint").alias("place"))
 
 

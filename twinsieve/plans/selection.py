@@ -119,7 +119,7 @@ def _(spark, sf_dir):
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Members of duplicate groups, and metadata in which some files have changed since."""
-    members = grouping.group(documents.files(spark, sf_dir, True), GroupOptions())
+    members = grouping.group(documents.files(spark, sf_dir, True), options())
     meta = documents.metadata(spark, sf_dir, True).withColumns({"is_file": F.col("inode") % 11 != 0, "len": F.col("len") + (F.col("inode") % 13 == 0).cast("bigint")})
     return members, meta
 
@@ -141,7 +141,7 @@ def _(spark, sf_dir):
 
 @query("filter_group_modified", f"{_GROUPED} SELECT path, file_hash FROM m JOIN (SELECT file_len, file_hash FROM m GROUP BY ALL HAVING max(modified) <= 1704067200 + 900) USING (file_len, file_hash)")
 def _(spark, sf_dir):
-    members = grouping.group(documents.files(spark, sf_dir, True), GroupOptions())
+    members = grouping.group(documents.files(spark, sf_dir, True), options())
     opts = DedupeOptions(modified_before="2024-01-01 00:15:00 +0000")
     return dedupe.candidates(members, documents.metadata(spark, sf_dir, True), opts)[0].select("path", "file_hash")
 

@@ -22,7 +22,7 @@ def odd(request, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["filter_path_glob", "filter_name_glob", "filter_exclude_glob", "filter_depth", "filter_regex", "having_rf_under", "having_rf_over", "duplicate_groups", "redundant_count", "subgroup_count", "report_stats", "order_groups", "order_files_in_group", "partition_by_key", "priority_top", "plan_remove", "having_unique"])
+@pytest.mark.parametrize("name", ["filter_path_glob", "filter_name_glob", "filter_exclude_glob", "filter_depth", "filter_regex", "having_rf_under", "having_rf_over", "duplicate_groups", "redundant_count", "subgroup_count", "report_stats", "order_groups", "order_files_in_group", "partition_by_key", "priority_top", "plan_remove", "having_unique", "missing_count"])
 def test_odd_documents(spark, odd, name):
     folder, con = odd
     got = entry.queries()[name](spark, folder)

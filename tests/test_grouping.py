@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from twinsieve.operators import cache, grouping, transform
 from twinsieve.options import GroupOptions, OptionError
 
@@ -130,3 +131,18 @@ def test_cache(spark, tmp_path):
     assert {r.cached_hash for r in cache.lookup(other, kept).collect()} == {None} and cache.opened(spark, path, "md5").count() == 0
     new = chunks.select(*cache.KEY, "modified_ms", F.col("len").alias("file_len"), F.col("len").alias("data_len"), F.lit("new").alias("hash"))
     assert {(r.inode, r.hash) for r in cache.merged(kept, new).collect()} == {(k, "new") for k in range(4)}
+
+
+def test_counted_by_tasks(spark, monkeypatch, tmp_path):
+    rows = [(1, 2, k % 5) for k in range(90)] + [(k, k, k) for k in range(3, 40)] + [(7, None, None), (7, None, 4), (7, None, 4), (8, 8, None)]
+    table = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_orderkey long")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(grouping, "TASK_ROWS", 10)
+    out = entry.queries()["group_by_key"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == -(-len(rows) // 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("HashAggregate")  # no task aggregates all that it scans
+    keys = ["l_partkey", "l_suppkey"]
+    want = table.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("l_orderkey")).filter("n > 1")
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert grouping.counted(table.limit(0), keys, "l_orderkey").count() == 0

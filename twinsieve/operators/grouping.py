@@ -17,6 +17,8 @@ from ..options import GroupOptions
 from ..session import materialise
 
 KEYS = ["file_len", "file_hash"]
+#: Rows of a task of counted(), and its tasks at most: two shuffles have a block for each pair of them.
+TASK_ROWS, MOST_TASKS = 1 << 19, 2048
 
 
 def unique_paths(files: DataFrame) -> DataFrame:
@@ -133,6 +135,17 @@ def stored_digests(files: DataFrame, opts: GroupOptions) -> DataFrame:
     return materialise(unique_paths(out), "digests")
 
 
+def counted(rows: DataFrame, keys: Sequence[str], distinct: str) -> DataFrame:
+    """keys, n (rows) and ids (distinct values of a column that aren't null) of each group of rows that are cheap to read.
+
+    A task has about TASK_ROWS rows, however many there are: by key and value first, so that no hot key meets in one
+    task, then by key. Nothing is aggregated before the first shuffle, where few rows would have a partner.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, min(MOST_TASKS, -(-rows.count() // TASK_ROWS)))
+    each = rows.select(*keys, distinct).repartition(tasks, *keys, distinct).groupBy(*keys, distinct).agg(F.count("*").alias("_n"))
+    return each.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("_n").alias("n"), F.count(distinct).alias("ids"))
+
+
 def transformed(files: DataFrame, opts: GroupOptions) -> DataFrame:
     """Members of groups whose content is equal once it went through opts.transform, a function of a binary column.
 

@@ -27,7 +27,7 @@ def duplicate_groups(spark, sf_dir):
 @query("group_by_key", "SELECT l_partkey, l_suppkey, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders")).filter("n > 1")
+    return grouping.counted(rows, ["l_partkey", "l_suppkey"], "l_orderkey").filter("n > 1").withColumnRenamed("ids", "orders")
 
 
 @query("group_by_size", f"WITH {FILES} SELECT len, count(*) AS n FROM files GROUP BY len HAVING count(*) > 1")

@@ -6,10 +6,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from twinsieve.functions import digests, paths, sizes
-from twinsieve.functions.blake import blake3
+from twinsieve.functions.blake import blake3, blake3_many
 from twinsieve.functions.metro import metro128
 from twinsieve.functions.patterns import Pattern, PatternError, Selector, ignored, literal_prefix
+from twinsieve.operators import grouping
 from twinsieve.operators.reports import join_arguments, quote_argument, split_arguments
+from twinsieve.options import GroupOptions
 
 GLOBS = [
     ("", [""], ["a"]),
@@ -137,3 +139,30 @@ def test_digests(spark):
     assert (bytes(r.a), bytes(r.b), bytes(r.d)) == (b"fil", b"le 1", b"Test file 1")
     x = spark.range(1).select(digests.xor(F.lit("00ff00ff12345678"), F.lit("ffff0000")).alias("x"), digests.first_number_key(F.lit("0102")).alias("k")).first()
     assert x.x == "ff0000ff00000000" and x.k == "00" * 14 + "0201"
+
+
+def test_digests_hold_no_second_copy():
+    """Contents go through BLAKE3 as they come, about a MB at a time."""
+    taken = []
+    contents = [bytes([k]) * 300_000 for k in range(40)]
+    found = digests._blake3_many(taken.append(len(b)) or b for b in contents)
+    first = next(found)
+    assert len(taken) <= 5
+    assert [first, *found] == blake3_many(contents) and len(taken) == 40
+    assert list(digests._blake3_many(iter(()))) == []
+
+
+def test_digests_in_small_batches(spark, monkeypatch):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    files = spark.sql("SELECT '/' || id path, cast(repeat('x', 1000000) as binary) content FROM range(0, 20, 1, 1)")
+    try:
+        spark.conf.unset(size)
+        grouping.with_content(files, GroupOptions(hash_fn="sha256"))
+        assert spark.conf.get(size, None) is None
+        rows = grouping.with_content(files, GroupOptions(hash_fn="blake3")).select("file_hash").distinct().collect()
+        assert spark.conf.get(size) == "4m" and [r[0] for r in rows] == [blake3_many([b"x" * 1_000_000])[0].hex()]
+        spark.conf.set(size, "1m")
+        grouping.with_content(files, GroupOptions(hash_fn="blake3"))
+        assert spark.conf.get(size) == "1m"
+    finally:
+        spark.conf.unset(size)

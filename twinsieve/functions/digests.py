@@ -6,7 +6,7 @@ md5, sha256 and sha512 are Spark's own; the others run in Python over Arrow batc
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from enum import StrEnum
 
 import pyarrow as pa
@@ -50,25 +50,24 @@ def _blake3(data: bytes) -> bytes:
     return blake3.blake3(data).digest()
 
 
-def _blake3_many(contents: list[bytes]) -> list[bytes]:
-    """All at once, some MB at a time, where the library is missing."""
+def _blake3_many(contents: Iterable[bytes]) -> Iterator[bytes]:
+    """About one MB at a time, of which no more is held, where the library is missing."""
     try:
         import blake3
-
-        return [blake3.blake3(b).digest() for b in contents]
     except ImportError:
         from twinsieve.functions.blake import blake3_many
-
-    out: list[bytes] = []
+    else:
+        yield from (blake3.blake3(b).digest() for b in contents)
+        return
     part: list[bytes] = []
     size = 0
     for b in contents:
         part.append(b)
         size += len(b)
         if size > 1 << 20:
-            out += blake3_many(part)
+            yield from blake3_many(part)
             part, size = [], 0
-    return out + blake3_many(part)
+    yield from blake3_many(part)
 
 
 def _metro(data: bytes) -> bytes:
@@ -119,20 +118,23 @@ class Stream:
 def digest(content: Column, algorithm: Algorithm | str = Algorithm.SHA256) -> Column:
     """The hexadecimal digest of a binary column; null for null."""
     algorithm = Algorithm.parse(algorithm)
-    if algorithm == Algorithm.MD5:
-        return F.md5(content)
-    if algorithm in (Algorithm.SHA256, Algorithm.SHA512):
-        return F.sha2(content, int(algorithm[3:]))
-    return digest_udf(algorithm)(content)
+    if runs_in_python(algorithm):
+        return digest_udf(algorithm)(content)
+    return F.md5(content) if algorithm == Algorithm.MD5 else F.sha2(content, int(algorithm[3:]))
+
+
+def runs_in_python(algorithm: Algorithm | str) -> bool:
+    return Algorithm.parse(algorithm) not in (Algorithm.MD5, Algorithm.SHA256, Algorithm.SHA512)
 
 
 def digest_udf(algorithm: Algorithm) -> Callable[[Column], Column]:
     of = in_python(algorithm)
-    many = _blake3_many if algorithm == Algorithm.BLAKE3 else lambda contents: [of(b) for b in contents]
+    many = _blake3_many if algorithm == Algorithm.BLAKE3 else lambda contents: map(of, contents)
 
     @F.arrow_udf("string")
     def hexadecimal(content: pa.Array) -> pa.Array:
-        found = iter(many([b for b in content.to_pylist() if b is not None]))
+        # contents leave Arrow one by one, so that they are not held a second time
+        found = many(b.as_py() for b in content if b.is_valid)
         return pa.array([next(found).hex() if there else None for there in content.is_valid().to_pylist()], pa.string())
 
     return hexadecimal

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, paths
 from ..options import GroupOptions
-from ..session import materialise
+from ..session import materialise, small_batches
 
 KEYS = ["file_len", "file_hash"]
 #: Rows of a task of counted(), and its tasks at most: two shuffles have a block for each pair of them.
@@ -87,6 +87,8 @@ def with_suffix(files: DataFrame, opts: GroupOptions) -> DataFrame:
 
 def with_content(files: DataFrame, opts: GroupOptions) -> DataFrame:
     """file_hash of the whole content."""
+    if digests.runs_in_python(opts.hash_fn):
+        small_batches(files.sparkSession)
     return files.withColumn("file_hash", digests.digest(F.col("content"), opts.hash_fn))
 
 

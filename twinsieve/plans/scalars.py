@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, paths, sizes
 from ..functions.digests import Algorithm
-from ..operators import transform
+from ..operators import grouping, transform
+from ..options import GroupOptions
 from ..sources import documents
 from .common import FILES, query
 
@@ -15,7 +16,7 @@ from .common import FILES, query
 def _digest(algorithm: Algorithm, sql: str | None = None):
     @query(f"hash_{algorithm.value.replace('-', '_')}", sql)
     def _(spark, sf_dir):
-        return documents.files(spark, sf_dir).select("path", digests.digest(F.col("content"), algorithm).alias("hash"))
+        return grouping.with_content(documents.files(spark, sf_dir), GroupOptions(hash_fn=algorithm)).select("path", F.col("file_hash").alias("hash"))
 
 
 for _algorithm in Algorithm:

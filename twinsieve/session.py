@@ -54,6 +54,15 @@ def stage_path(spark: SparkSession, what: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python about 4 MB at a time, unless the session has a size of its own; for columns of whole contents."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "4m")
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
